@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumarank.llm import bpe, packing, phash, quantiles, splits, topn, vectors
+from lumarank.llm import bpe, packing, phash, quantiles, spam, splits, topn, vectors
 from lumarank.runtime import latest, strip_blanks, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,8 @@ def p7_packing(spark: SparkSession, root: str) -> DataFrame:
 @_query("p7_summary")
 def p7_summary(spark: SparkSession, root: str) -> DataFrame:
     return packing.packing_summary(p7_packing(spark, root), packing.window_capacity(table(spark, root, "prompt_windows")))
+
+
+@_query("p8_found")
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    return spam.spam_documents(table(spark, root, "documents", ["doc_id", "text", "source"]))
