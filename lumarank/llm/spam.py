@@ -19,7 +19,7 @@ from lumarank.runtime import cut, spread
 
 FEATURES = (
     "link_share", "link_line_share", "links_per_word", "bare_share", "bare_rest_share", "function_share", "repeat_share", "top_share", "distinct_share",
-    "tag_line_share", "separators", "sentence_marks", "digit_share", "record_share", "segment_repeat", "log_words", "cjk_share", "pair_repeat", "stuffed_share",
+    "tag_line_share", "separators", "sentence_marks", "digit_share", "record_share", "segment_repeat", "log_words", "cjk_share", "pair_repeat", "stuffed_share", "heavy_share",
 )
 
 _LINK = re.compile(
@@ -68,15 +68,43 @@ def _segment_parts(segment: str) -> tuple[list[str], int, int, int]:
     return words, units, func, run
 
 
-def _phrases(words: list[str]) -> list:
-    """Adjacent content words and, in CJK runs, four adjacent content characters."""
-    found: list = [p for p in zip(words, words[1:]) if p[0] not in _FUNCTION and p[1] not in _FUNCTION and not p[0].isdigit() and not p[1].isdigit()]
+def _phrases(words: list[str]) -> list[tuple[str, str]]:
+    """Adjacent content words."""
+    return [p for p in zip(words, words[1:]) if p[0] not in _FUNCTION and p[1] not in _FUNCTION and not p[0].isdigit() and not p[1].isdigit()]
+
+
+def _tokens(words: list[str]) -> list[str]:
+    """Content words and, of CJK runs, the adjacent pairs of content characters."""
+    found = []
     for w in words:
-        if len(w) >= 4 and _CJK.search(w):
-            found += [g for g in (w[i : i + 4] for i in range(len(w) - 3)) if _FUNCTION_CJK.isdisjoint(g)]
+        if _CJK.search(w):
+            found += [g for g in (w[i : i + 2] for i in range(len(w) - 1)) if _FUNCTION_CJK.isdisjoint(g)]
+        elif w not in _FUNCTION and not w.isdigit():
+            found.append(w)
     return found
 
 
+def _heavy_tokens(words: list[str]) -> set[str]:
+    """Tokens that a text repeats more than writing does: at least three times and 3 % of all."""
+    counts = Counter(_tokens(words))
+    least = max(3, 0.03 * sum(counts.values()))
+    return {t for t, c in counts.items() if c >= least}
+
+
+def _heavy_share(words: list[str], heavy: set[str]) -> float:
+    """Share of a unit's content that heavy tokens cover; a CJK character is half a word."""
+    of_heavy = content = 0.0
+    for w in words:
+        if _CJK.search(w):
+            content += sum(ch not in _FUNCTION_CJK for ch in w) / 2
+            inside = {k for i in range(len(w) - 1) if w[i : i + 2] in heavy for k in (i, i + 1)}
+            of_heavy += len(inside) / 2
+        elif w not in _FUNCTION and not w.isdigit():
+            content += 1
+            of_heavy += w in heavy
+    return of_heavy / content if content else 0.0
+
+
 def _link_pieces(line: str) -> list[str]:
     """A line with links, cut behind sentence ends that aren't part of a link."""
     inside = bytearray(len(line) + 1)
@@ -93,16 +121,21 @@ def _link_pieces(line: str) -> list[str]:
 _SENTENCE = re.compile(r"[^\n.!?。！？]+(?:\.(?=\S)[^\n.!?。！？]+)*[.!?。！？]*")
 
 
-def _stuffed(unit: str, in_text: Counter) -> bool:
+def _stuffed(unit: str, in_text: Counter, heavy: set[str]) -> bool:
     """Whether a sentence or line is a bare list of phrases, of links or repeats a phrase for its own sake."""
     links = len(_LINK.findall(unit))
     words, units, func, run = _segment_parts(_LINK.sub(" ", unit).lower())
     bare = func < 0.12 * units and run <= PHRASE_RUN
     if links:
         return units <= 5 * links or bare
-    if bare:
-        return units > 0
-    return any(c >= 2 and in_text[p] >= 3 for p, c in Counter(_phrases(words)).items())
+    if not units:
+        return False
+    if bare or _heavy_share(words, heavy) >= 0.5:
+        return True
+    phrases = Counter(_phrases([w for w in words if w != "de"]))
+    if 4 <= units <= 8 and func - words.count("de") <= 1 and any(in_text[p] >= 2 for p in phrases):
+        return True  # "<repeated phrase> in <town>"
+    return any(c >= 2 and in_text[p] >= 3 for p, c in phrases.items())
 
 
 def page_features(text: str | None) -> list[float]:
@@ -128,7 +161,8 @@ def page_features(text: str | None) -> list[float]:
         elif not found and _RECORD.match(line):
             record_chars += len(line)
     plain = _LINK.sub(" | ", text).lower()
-    in_text = Counter(_phrases(_WORD.findall(plain)))
+    all_words = _WORD.findall(plain)
+    in_text, heavy = Counter(_phrases([w for w in all_words if w != "de"])), _heavy_tokens(all_words)
     stuffed = seen = 0
     for line in text.split("\n"):
         if _LINK.search(line) or _TAG_LINE.match(line):
@@ -139,7 +173,7 @@ def page_features(text: str | None) -> list[float]:
         for piece in pieces:
             chars = len(piece.strip())
             seen += chars
-            stuffed += chars * _stuffed(piece, in_text)
+            stuffed += chars * _stuffed(piece, in_text, heavy)
     units = func = bare = bare_rest = 0
     words: list[str] = []
     short: Counter[str] = Counter()
@@ -163,7 +197,7 @@ def page_features(text: str | None) -> list[float]:
     counts = Counter(w for w in words if w not in _FUNCTION and not w.isdigit())
     content = sum(counts.values())
     n_words = max(1, len(words))
-    in_pairs = sum(c for p, c in in_text.items() if c > 2 and type(p) is tuple)
+    in_pairs = sum(c for c in in_text.values() if c > 2)
     total = max(1, units)
     lower_links = max(1, links)
     return [
@@ -186,6 +220,7 @@ def page_features(text: str | None) -> list[float]:
         len(_CJK.findall(text)) / size,
         in_pairs / n_words,
         stuffed / max(1, seen),
+        _heavy_share(all_words, heavy),
     ]
 
 
@@ -204,8 +239,8 @@ def weak_labels(x: np.ndarray) -> np.ndarray:
     """1 spam, 0 no spam, -1 unknown, by rules of thumb that leave the middle out."""
     words, stuffed, links = np.expm1(x[:, _AT["log_words"]]), x[:, _AT["stuffed_share"]], x[:, _AT["links_per_word"]]
     label = np.full(len(x), -1)
-    label[(stuffed > 0.65) & (x[:, _AT["record_share"]] < 0.2)] = 1
-    label[stuffed < 0.3] = 0
+    label[(stuffed > 0.6) & (x[:, _AT["record_share"]] < 0.2)] = 1
+    label[stuffed < 0.4] = 0
     label[(words < REMARK_WORDS) & (links == 0)] = 0
     return label
 
