@@ -63,9 +63,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def half_up(x: Column, digits: int = 2) -> Column:
-    """Round half up by ``floor(x * 10^d + 0.5) / 10^d`` (the same rule on every SQL engine)."""
+    """Round half up by ``floor(x * 10^d + 0.5 + 1e-7) / 10^d``, the same on every SQL engine.
+
+    The small addend makes ties of values that binary fractions or the order of a sum miss by a hair.
+    """
     scale = float(10**digits)
-    return F.floor(x * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    return F.floor(x * F.lit(scale) + F.lit(0.5000001)) / F.lit(scale)
 
 
 def strip_blanks(x: Column) -> Column:
