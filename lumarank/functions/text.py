@@ -180,7 +180,7 @@ def rank_sentence(rank: Column, size: Column, language: str = "zh") -> Column:
 
 def adler32(text: Column) -> Column:
     """Adler-32 of the UTF-8 bytes, folded in the JVM."""
-    codes = F.transform(F.sequence(F.lit(0), F.greatest(F.octet_length(text) - 1, F.lit(0))), lambda i: F.conv(F.hex(F.substring(F.encode(text, "utf-8"), 1, 1 << 30)).substr(i * 2 + 1, F.lit(2)), 16, 10).cast("long"))
+    codes = F.transform(F.regexp_extract_all(F.hex(F.encode(text, "utf-8")), F.lit(".."), 0), lambda x: F.conv(x, 16, 10).cast("long"))
     start = F.struct(F.lit(1).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
     step = lambda s, x: F.struct(((s["a"] + x) % 65521).alias("a"), ((s["b"] + s["a"] + x) % 65521).alias("b"))
     return F.when(F.octet_length(text) > 0, F.aggregate(codes, start, step, lambda s: s["b"] * 65536 + s["a"])).otherwise(F.lit(1).cast("long"))

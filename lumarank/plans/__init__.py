@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scores",)
+MODULES = ("scores", "library", "labels", "bursts", "benchmarks", "texts")
 
 
 def load_queries() -> None:
