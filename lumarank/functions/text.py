@@ -84,8 +84,8 @@ def scene_context(scene: Column, raw: Column) -> Column:
 
 
 def one_decimal(x: Column) -> Column:
-    """``x`` with one decimal, half up."""
-    return F.format_string("%.1f", F.floor(x * 10 + 0.5) / 10)
+    """``x`` with one decimal, half up; null stays null."""
+    return F.when(x.isNotNull(), F.format_string("%.1f", F.floor(x * 10 + 0.5) / 10))
 
 
 def score_line(scores: dict[str, Column], names: dict[str, str] = ABBREVIATIONS, order: Sequence[str] = ALL_DIMS) -> Column:
