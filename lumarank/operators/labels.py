@@ -30,11 +30,12 @@ def calibration_fit(rows: DataFrame, keys: list[str], min_labels: int = 20, min_
     rows, which the per-key result (as many rows as keys) is joined to.
     """
     x, y = F.col("raw_score") - PIVOT, F.col("human") - PIVOT
+    slope = F.when(F.max("raw_score") > F.min("raw_score"), F.regr_slope(y, x))
     fits = rows.groupBy(*keys).agg(
         F.count("*").alias("n"),
         (F.max("raw_score") - F.min("raw_score")).alias("span"),
-        clamp(F.regr_slope(y, x), 0.5, 1.5).alias("scale"),
-        F.regr_slope(y, x).alias("__slope"),
+        clamp(slope, 0.5, 1.5).alias("scale"),
+        slope.alias("__slope"),
         F.avg(x).alias("__mx"),
         F.avg(y).alias("__my"),
     )

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from lumarank.functions.scoring import cosine, quality_metric, softmax, unit_vector
 from lumarank.operators import benchmark as B
 from lumarank.plans.catalog import query
-from lumarank.plans.common import CUR, current, r
-from lumarank.runtime import half_up, table
+from lumarank.plans.common import CUR, current
+from lumarank.plans.common import rs as r
+from lumarank.runtime import table
+from lumarank.runtime import reported as half_up
 
 _ATT = """WITH att AS (SELECT * REPLACE (lower(trim(model)) AS model, CASE WHEN latency_ms > 0 AND isfinite(latency_ms) THEN latency_ms END AS latency_ms)
   FROM (SELECT *, row_number() OVER (PARTITION BY attempt_id ORDER BY run_id) AS rn FROM attempts WHERE attempt_id IS NOT NULL) WHERE rn = 1)

@@ -9,8 +9,9 @@ from lumarank.functions.identity import hamming
 from lumarank.operators import grouping as G
 from lumarank.operators import ranking as R
 from lumarank.plans.catalog import query
-from lumarank.plans.common import r
-from lumarank.runtime import half_up, table
+from lumarank.plans.common import rs as r
+from lumarank.runtime import table
+from lumarank.runtime import reported as half_up
 
 _ISL = """WITH l AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),
 i AS (SELECT *, sum(CASE WHEN before IS NULL OR ts IS NULL OR epoch_us(ts) - epoch_us(before) > 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts NULLS LAST, event_id ROWS UNBOUNDED PRECEDING) AS island FROM l)

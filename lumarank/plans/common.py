@@ -16,7 +16,17 @@ TIE_KEYS = ("technical_quality", "composition", "lighting")
 
 
 def r(x: str, digits: int = 4) -> str:
-    """SQL of the engine's rounding rule."""
+    """SQL of the rounding of scores (two places), else of reported values."""
+    if digits != 2:
+        return rs(x, digits)
+    error = "((v * 134217729 - (v * 134217729 - v)) * 100 - v * 100) + (v - (v * 134217729 - (v * 134217729 - v))) * 100"
+    part = "v * 100 - floor(v * 100)"
+    up = f"CASE WHEN {part} <> 0.5 THEN {part} > 0.5 WHEN {error} <> 0 THEN {error} > 0 ELSE floor(v * 100) % 2 <> 0 END"
+    return f"(list_transform([({x})::DOUBLE], lambda v: (floor(v * 100) + ({up})::INT) / 100)[1])"
+
+
+def rs(x: str, digits: int = 4) -> str:
+    """SQL of the rule for reported values."""
     return f"(floor(({x}) * 1e{digits} + 0.5000001) / 1e{digits})"
 
 

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from lumarank.functions.scoring import calibrated
 from lumarank.operators import labels as L
 from lumarank.plans.catalog import query
-from lumarank.plans.common import CUR, current, r
-from lumarank.runtime import half_up, table
+from lumarank.plans.common import CUR, current
+from lumarank.plans.common import rs as r
+from lumarank.runtime import table
+from lumarank.runtime import reported as half_up
 
 _VALID = """WITH lab AS (SELECT * FROM (SELECT label_id, path, lower(trim(target)) AS target, raw_score,
   coalesce(CASE WHEN NOT isnan(human_score) THEN human_score END, CASE WHEN NOT isnan(human_rating) THEN human_rating * 2 END) AS human, lower(trim(split)) AS split, source,
@@ -51,9 +53,9 @@ def split_assignment(spark: SparkSession, root: str) -> DataFrame:
 
 _FIT = (
     _VALID
-    + """, m AS (SELECT target, count(*) AS n, max(raw_score) - min(raw_score) AS span, regr_slope(human - 5.5, raw_score - 5.5) AS slope, avg(human - 5.5::DOUBLE) - regr_slope(human - 5.5, raw_score - 5.5) * avg(raw_score - 5.5::DOUBLE) AS icpt FROM lab GROUP BY target),
-f AS (SELECT *, greatest(0.5, least(1.5, slope)) AS scale, greatest(-2, least(2, icpt)) AS offs FROM m),
-e AS (SELECT target, sqrt(avg((human - raw_score) ** 2)) AS before, sqrt(avg((human - greatest(1, least(10, raw_score + 1.0 * (greatest(1, least(10, 5.5 + scale * (raw_score - 5.5) + offs)) - raw_score)))) ** 2)) AS after FROM lab JOIN f USING (target) GROUP BY target),
+    + """, m AS (SELECT target, count(*) AS n, max(raw_score) - min(raw_score) AS span, CASE WHEN max(raw_score) > min(raw_score) THEN regr_slope(human - 5.5, raw_score - 5.5) END AS slope, avg(human - 5.5::DOUBLE) AS my, avg(raw_score - 5.5::DOUBLE) AS mx FROM lab GROUP BY target),
+f AS (SELECT *, CASE WHEN slope IS NOT NULL THEN greatest(0.5, least(1.5, slope)) END AS scale, CASE WHEN slope IS NOT NULL THEN greatest(-2, least(2, my - slope * mx)) END AS offs FROM m),
+e AS (SELECT target, sqrt(avg((human - raw_score) ** 2)) AS before, sqrt(avg((human - CASE WHEN scale IS NOT NULL THEN greatest(1, least(10, raw_score + 1.0 * (greatest(1, least(10, 5.5 + scale * (raw_score - 5.5) + offs)) - raw_score))) END) ** 2)) AS after FROM lab JOIN f USING (target) GROUP BY target),
 fit AS (SELECT *, CASE WHEN n < 20 THEN 'insufficient_labels' WHEN span < 0.1 THEN 'insufficient_raw_span' WHEN after < before - 1e-9 THEN 'fitted' ELSE 'no_improvement' END AS status FROM f JOIN e USING (target))
 """
 )

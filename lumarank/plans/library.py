@@ -12,8 +12,10 @@ from lumarank.functions import text as X
 from lumarank.operators import library as L
 from lumarank.operators import ranking as R
 from lumarank.plans.catalog import query
-from lumarank.plans.common import CUR, current, r
-from lumarank.runtime import half_up, latest, table
+from lumarank.plans.common import CUR, current
+from lumarank.plans.common import rs as r
+from lumarank.runtime import latest, table
+from lumarank.runtime import reported as half_up
 
 _INDEX = """, idx AS (SELECT file_path, file_size, mtime_ns FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY mtime_ns DESC NULLS LAST, file_size DESC NULLS LAST) AS k FROM visual_hash_cache WHERE file_path IS NOT NULL) WHERE k = 1)"""
 

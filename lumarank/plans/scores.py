@@ -9,8 +9,8 @@ from lumarank.constants import AESTHETIC_SOURCE, ALL_DIMS, EXPOSURE_FIELDS, EXPO
 from lumarank.functions import scoring as S
 from lumarank.operators import ranking as R
 from lumarank.plans.catalog import query
-from lumarank.plans.common import CUR, case_map, current, r
-from lumarank.runtime import half_up
+from lumarank.plans.common import CUR, case_map, current, r, rs
+from lumarank.runtime import half_up, reported
 
 SCORES = [f"score_{d}" for d in ALL_DIMS]
 
@@ -326,13 +326,13 @@ _FAV = (4.0, 5.5, 6.5, 7.5, 8.5)
 @query(
     "score_diversity",
     CUR
-    + f""", v AS (SELECT file_path, group_key, floor(total_score * 100 + 0.5000001) / 100 AS t, [{", ".join(f"floor(score_{d} * 10 + 0.5000001) / 10" for d in VISION_DIMS)}] AS x FROM cur),
+    + f""", v AS (SELECT file_path, group_key, {r('total_score', 2)} AS t, [{", ".join(f"floor(score_{d} * 10 + 0.5000001) / 10" for d in VISION_DIMS)}] AS x FROM cur),
 whole AS (SELECT x, count(*) AS c FROM v WHERE len(list_filter(x, lambda y: y IS NULL)) = 0 GROUP BY x),
 vals AS (SELECT unnest(x) AS y FROM v WHERE len(list_filter(x, lambda y: y IS NULL)) = 0),
 g AS (SELECT group_key, max(t) - min(t) AS rng, count(t) AS n FROM v GROUP BY group_key)
 SELECT (SELECT {r("max(t) - min(t)", 2)} FROM v) AS score_range, (SELECT {r("avg((y IN (4.0, 5.5, 6.5, 7.5, 8.5))::INT)", 3)} FROM vals) AS favourite_ratio,
   (SELECT {r("sum(CASE WHEN c > 1 THEN c ELSE 0 END) / sum(c)", 3)} FROM whole) AS repeated_ratio, (SELECT count(*) FROM whole) AS distinct_vectors,
-  (SELECT count(*) FROM g WHERE n > 1) AS groups_of_many, (SELECT {r("avg(rng)", 2)} FROM g WHERE n > 1) AS mean_group_range""",
+  (SELECT count(*) FROM g WHERE n > 1) AS groups_of_many, (SELECT {rs("avg(rng)", 2)} FROM g WHERE n > 1) AS mean_group_range""",
 )
 def score_diversity(spark: SparkSession, root: str) -> DataFrame:
     """How varied scores are: range, favourite values, repeated vectors, ranges within groups."""
@@ -346,7 +346,7 @@ def score_diversity(spark: SparkSession, root: str) -> DataFrame:
     )
     groups = rows.groupBy("group_key").agg(F.max("t").alias("a"), F.min("t").alias("b"), F.count("t").alias("n"))
     per_group = groups.agg(
-        half_up(F.max("a") - F.min("b")).alias("score_range"), F.count_if(F.col("n") > 1).alias("groups_of_many"), half_up(F.avg(F.when(F.col("n") > 1, F.col("a") - F.col("b")))).alias("mean_group_range")
+        half_up(F.max("a") - F.min("b")).alias("score_range"), F.count_if(F.col("n") > 1).alias("groups_of_many"), reported(F.avg(F.when(F.col("n") > 1, F.col("a") - F.col("b")))).alias("mean_group_range")
     )
     return per_group.crossJoin(vectors)  # one row each
 

@@ -11,8 +11,10 @@ from lumarank.functions import text as X
 from lumarank.operators import commentary as C
 from lumarank.operators import ranking as R
 from lumarank.plans.catalog import query
-from lumarank.plans.common import CUR, current, r
-from lumarank.runtime import half_up, table
+from lumarank.plans.common import CUR, current
+from lumarank.plans.common import rs as r
+from lumarank.runtime import table
+from lumarank.runtime import reported as half_up
 
 SCORES = [f"score_{d}" for d in ALL_DIMS]
 _ONE = lambda x: f"printf('%.1f', floor(({x}) * 10 + 0.5) / 10)"

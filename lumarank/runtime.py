@@ -63,10 +63,29 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def half_up(x: Column, digits: int = 2) -> Column:
-    """Round half up by ``floor(x * 10^d + 0.5 + 1e-7) / 10^d``, the same on every SQL engine.
+    """The rounding of scores: to the nearest by the exact binary value, exact ties to even.
 
-    The small addend makes ties of values that binary fractions or the order of a sum miss by a hair.
+    Scores have two places and are rounded at every layer, so what looks like a tie matters:
+    the error of ``x * 100`` is computed exactly (both halves of a split x times 100 are exact)
+    and decides where the product lands on .5. Values of more places are ``reported``.
     """
+    if digits != 2:
+        return reported(x, digits)
+
+    def rounded(v: Column) -> Column:
+        p = v * 100.0
+        high = v * 134217729.0 - (v * 134217729.0 - v)
+        error = (high * 100.0 - p) + (v - high) * 100.0
+        low, part = F.floor(p), p - F.floor(p)
+        up = F.when(part != 0.5, part > 0.5).when(error != 0, error > 0).otherwise(low % 2 != 0)
+        return F.when(p.isNotNull(), (low + F.when(up, 1).otherwise(0)) / 100.0)
+
+    # binds x once: repeated in the formula, nested scores would outgrow generated code
+    return F.transform(F.array(x), rounded)[0]
+
+
+def reported(x: Column, digits: int = 2) -> Column:
+    """Half up, for results that depend on the order of a sum: what misses a tie by less than 1e-7 is one."""
     scale = float(10**digits)
     return F.floor(x * F.lit(scale) + F.lit(0.5000001)) / F.lit(scale)
 

@@ -30,7 +30,7 @@ class StateTable:
         return system.exists(hadoop) and system.getContentSummary(hadoop).getFileCount() > 0
 
     def _append(self, rows: DataFrame, removed: bool, version: int | None) -> None:
-        out = rows.withColumn(VERSION, F.lit(version if version is not None else time.time_ns())).withColumn(REMOVED, F.lit(removed))
+        out = rows.withColumn(VERSION, F.lit(version if version is not None else time.time_ns()).cast("bigint")).withColumn(REMOVED, F.lit(removed))
         writer = out.write.mode("append")
         (writer.partitionBy(*self.partition_by) if self.partition_by else writer).parquet(self.path)
 
