@@ -19,8 +19,8 @@ from lumarank.runtime import strip_blanks
 
 SECTION = 32
 EPSILON = 0.02
-#: Sketches a partition holds at once before it hands them on.
-FLUSH_KEYS = 2048
+#: Values a partition holds in sketches before it hands them on.
+FLUSH_VALUES = 2_000_000
 #: Partial sketches merged by one task before the second level of merging.
 FAN_IN = 64
 
@@ -141,19 +141,31 @@ def _build(keys: list[str], value: str):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId() // FAN_IN
-        held: dict[tuple, RelativeRankSketch] = {}
+        held: dict[tuple, list[np.ndarray]] = {}
+        waiting = 0
 
         def out() -> pd.DataFrame:
-            rows = [(*k, part, s.n, s.to_bytes()) for k, s in held.items()]
+            rows = []
+            for key, chunks in held.items():
+                sketch = RelativeRankSketch()
+                sketch.update(np.concatenate(chunks))
+                rows.append((*key, part, sketch.n, sketch.to_bytes()))
             held.clear()
             return pd.DataFrame(rows, columns=[*keys, "part", "n", "sketch"])
 
         for pdf in batches:
-            for key, own in pdf.groupby(keys, dropna=False, sort=False):
-                key = tuple(None if k is None or k != k else k for k in key)
-                held.setdefault(key, RelativeRankSketch()).update(own[value].to_numpy())
-            if len(held) > FLUSH_KEYS:
+            # rows of a key are brought together once per batch, whatever the number of keys
+            codes = pdf.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+            order = np.argsort(codes, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(codes[order]) != 0]) if len(order) else []
+            names = list(zip(*(pdf[k].to_numpy(dtype=object)[order[starts]] for k in keys)))
+            for name, values in zip(names, np.split(pdf[value].to_numpy()[order], starts[1:])):
+                key = tuple(None if k is None or k != k else k for k in name)
+                held.setdefault(key, []).append(values)
+            waiting += len(pdf)
+            if waiting > FLUSH_VALUES:
                 yield out()
+                waiting = 0
         if held:
             yield out()
 
@@ -161,11 +173,25 @@ def _build(keys: list[str], value: str):
 
 
 def _merge(keys: list[str]):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        whole = RelativeRankSketch()
-        for raw in pdf["sketch"]:
-            whole.merge(RelativeRankSketch.from_bytes(raw))
-        return pd.DataFrame([(*(pdf[k].iloc[0] for k in keys), whole.n, whole.to_bytes())], columns=[*keys, "n", "sketch"])
+    """Merges runs of equal keys in a sorted stream, holding one sketch at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now: tuple | None = None
+        whole: RelativeRankSketch | None = None
+        for pdf in batches:
+            rows = []
+            for *key, raw in zip(*(pdf[k].to_numpy(dtype=object) for k in keys), pdf["sketch"]):
+                key = tuple(None if k is None or k != k else k for k in key)
+                if whole is not None and key == now:
+                    whole.merge(RelativeRankSketch.from_bytes(raw))
+                    continue
+                if whole is not None:
+                    rows.append((*now, whole.n, whole.to_bytes()))
+                now, whole = key, RelativeRankSketch.from_bytes(raw)
+            if rows:
+                yield pd.DataFrame(rows, columns=[*keys, "n", "sketch"])
+        if whole is not None:
+            yield pd.DataFrame([(*now, whole.n, whole.to_bytes())], columns=[*keys, "n", "sketch"])
 
     return run
 
@@ -181,7 +207,7 @@ _SKETCH = [T.StructField("n", T.LongType()), T.StructField("sketch", T.BinaryTyp
 def merge_sketches(sketches: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One sketch per ``keys`` from the sketches of partitions, days or earlier merges."""
     schema = T.StructType([*_key_fields(sketches, keys), *_SKETCH])
-    return sketches.groupBy(*keys).applyInPandas(_merge(list(keys)), schema)
+    return sketches.select(*keys, "sketch").repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_merge(list(keys)), schema)
 
 
 def build_sketches(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
