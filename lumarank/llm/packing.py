@@ -101,15 +101,17 @@ def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int, tries_
 
     tries = tries_per_bin * max(1, len(under))
     while tries > 0:
-        open_bins = [int(b) for b in bins_under if b not in stuck and 0 < fill[int(b)] < capacity]
-        if len(open_bins) < 2:
+        open_bins = [int(b) for b in bins_under if 0 < fill[int(b)] < capacity]
+        movable = [b for b in open_bins if b not in stuck]
+        if not movable or len(open_bins) < 2:
             break
-        a = min(open_bins, key=lambda b: fill[b])
+        a = min(movable, key=lambda b: fill[b])
         while tries > 0 and bins[a]:
             tries -= 1
             if not one_step(a):
                 stuck.add(a)
                 break
+            stuck.clear()  # fills changed: what found no exchange before may find one now
     return [b for b in bins if b]
 
 
