@@ -1,0 +1,353 @@
+"""Training-data operators against brute force, and their edge cases."""
+
+import json
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lumarank.llm import bpe, packing, phash, quantiles, spam, splits, topn, vectors
+from lumarank.runtime import table
+
+
+# --- neighbours -----------------------------------------------------------------------------
+
+
+def exact(rows):
+    """Brute force over (path, model, unit vector)."""
+    out = set()
+    for model in {m for _, m, _ in rows}:
+        own = sorted((p, v) for p, m, v in rows if m == model)
+        mat = np.stack([v for _, v in own])
+        cos = np.round(mat @ mat.T, 6)
+        for i, (p, _) in enumerate(own):
+            order = [j for j in np.argsort(-cos[i], kind="stable") if j != i][:5]
+            out |= {(model, p, own[j][0]) for j in order}
+    return out
+
+
+def as_rows(spark, rows):
+    return spark.createDataFrame([(p, m, bytearray(v.tobytes())) for p, m, v in rows], "file_path string, model_key string, vector binary")
+
+
+def test_usable_vectors():
+    ok = vectors.usable_vector
+    assert ok(" [3, 4.0e0]\n", 2) is not None and np.frombuffer(ok("[3,4]", 2)).tolist() == [0.6, 0.8]
+    assert ok("[1e308, 1e308]", 2) is not None and ok("[1e-320, 0]", 2) is not None
+    for bad in ("[1, NaN]", "[1, Infinity]", "[1, 1e999]", "[0, 0.0]", "[1]", "[1, 2, 3]", '[1, "2"]', "[1, true]", "[1, null]", "[[1, 2]]", '{"v": [1, 2]}', "[1, 2", "", None, "[1, 2] x", "nan"):
+        assert ok(bad, 2) is None, bad
+
+
+def test_neighbours_with_hot_and_equal_vectors(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(30, 16))
+    raw = [centres[0] + 0.02 * rng.normal(size=16) for _ in range(200)]  # a third in one place
+    raw += [centres[i % 30] + 0.3 * rng.normal(size=16) for i in range(360)]
+    raw += [centres[5]] * 40  # equal vectors
+    rows = [(f"/p/{i:04d}", "m" if i % 7 else "n", v / np.linalg.norm(v)) for i, v in enumerate(raw)]
+    truth = exact(rows)
+    got = {(r.model_key, r.file_path, r.neighbour) for r in vectors.neighbour_lists(as_rows(spark, rows)).collect()}
+    assert len(got & truth) / len(truth) >= 0.97 and len(got) == len(truth)
+    small_blocks = {(r.model_key, r.file_path, r.neighbour) for r in vectors.neighbour_lists(as_rows(spark, rows), block=64).collect()}
+    assert len(small_blocks & truth) / len(truth) >= 0.97
+    checked = {(r.model_key, r.file_path, r.neighbour) for r in vectors.exact_neighbours(as_rows(spark, rows), spark.createDataFrame([("/p/0010",), ("/p/0300",)], "file_path string")).collect()}
+    assert checked == {t for t in truth if t[1] in ("/p/0010", "/p/0300")}
+
+
+def test_neighbours_of_few(spark):
+    one = [("/a", "m", np.array([1.0, 0.0]))]
+    assert vectors.neighbour_lists(as_rows(spark, one)).count() == 0
+    assert vectors.neighbour_lists(as_rows(spark, one).limit(0)).count() == 0
+    two = [*one, ("/b", "m", np.array([0.0, 1.0])), ("/c", "n", np.array([0.0, 1.0]))]
+    assert {(r.file_path, r.neighbour) for r in vectors.neighbour_lists(as_rows(spark, two)).collect()} == {("/a", "/b"), ("/b", "/a")}
+
+
+def test_current_vectors(spark):
+    from datetime import datetime
+
+    t = datetime(2024, 1, 1)
+    cache = spark.createDataFrame(
+        [("/a", "m", "[1, 0]", None), ("/a", "m", "[0, 1]", t), ("/b", "m", "broken", t), ("/b", "m", "[1, 1]", None), ("/c", "zz", "[1, 1]", t), (None, "m", "[1, 1]", t)],
+        "file_path string, model_key string, vector_json string, computed_at timestamp",
+    ).withColumn("mtime_ns", F.lit(1)).withColumn("dims", F.lit("clash"))
+    models = spark.createDataFrame([("m", 2), ("m", 2), (None, 3)], "model_key string, dims int")
+    rows = vectors.current_vectors(cache, models).collect()
+    assert [(r.file_path, np.frombuffer(r.vector).tolist()) for r in rows] == [("/a", [0.0, 1.0])]
+
+
+# --- near duplicates ------------------------------------------------------------------------
+
+
+def test_near_hashes_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, 60, dtype=np.int64)
+    values = set(base.tolist())
+    for b in base.tolist():
+        for k in range(1, 8):
+            v = b
+            for bit in rng.choice(63, k, replace=False):
+                v ^= 1 << int(bit)
+            values.add(v)
+    values = sorted(values | {0, -1})
+    truth = {(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if bin((a ^ b) & (2**64 - 1)).count("1") <= 5}
+    df = spark.createDataFrame([(v,) for v in [*values, values[0], None]], "hash bigint")
+    got = {(r.hash_a, r.hash_b) for r in phash.near_hashes(df).collect()}
+    assert got == truth
+    assert phash.near_hashes(df.limit(0)).count() == 0
+
+
+def test_hash_texts_and_current_rows(spark):
+    texts = {"00ff00ff00ff00ff": True, "0X00FF00FF00FF00FF": True, " 00:ff:00:ff-00_ff 00ff\n": True, "00ff": False, "00ff00ff00ff00fg": False, "00ff00ff00ff00ff00": False, "": False, None: False}
+    df = spark.createDataFrame([(k, v) for k, v in texts.items()], "x string, ok boolean")
+    assert all((r.h is not None) == r.ok for r in df.select("ok", phash.readable_hash(F.col("x")).alias("h")).collect())
+    cache = spark.createDataFrame(
+        [("a", "0000000000000000", 1), ("a", "unreadable", 2), ("b", "0000000000000001", None), ("c", "0x0000000000000003", 5), ("d", "0000000000000003", 5), ("d", "0000000000000003", 5), (None, "0000000000000003", 5)],
+        "file_path string, phash string, mtime_ns bigint",
+    ).withColumn("hash", F.lit("clash"))
+    assert {tuple(r) for r in phash.near_files(cache).collect()} == {("b", "c"), ("b", "d"), ("c", "d")}
+    classes = {r.file_path: (r.class_id, r.copies, r.links) for r in phash.file_classes(cache).collect()}
+    assert classes == {"b": ("b", 1, 1), "c": ("c", 2, 1), "d": ("c", 2, 1)}
+
+
+# --- overlaps across splits -----------------------------------------------------------------
+
+
+def coverage(records, least):
+    """Characters of each text (with its end mark) in spans of at least ``least`` that another split holds."""
+    out = {}
+    for i, (key, text, split) in enumerate(records):
+        t = text + splits.END
+        hit = [False] * len(t)
+        for j, (_, other, s) in enumerate(records):
+            if s == split:
+                continue
+            o = other + splits.END
+            for a in range(len(t) - least + 1):
+                n = 0
+                for n in range(len(t) - a, least - 1, -1):
+                    if t[a : a + n] in o:
+                        hit[a : a + n] = [True] * n
+                        break
+        if any(hit):
+            out[key] = (len(t), sum(hit))
+    return out
+
+
+def test_coverage_against_brute_force(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(0, 14)))
+    records = [(i, word(), rng.choice(["train", "holdout", "dev"])) for i in range(60)]
+    long = "".join(rng.choice("xyz") for _ in range(300))
+    records += [(100, long, "train"), (101, "aa" + long[20:280] + "bb", "holdout")]
+    records += [(200 + i, "same text here", "train") for i in range(50)] + [(300, "same text here", "holdout")]
+    df = spark.createDataFrame(records, "key int, body string, part string").withColumn("id", F.lit("clash"))
+    got = {r.key: (r.length, r.covered) for r in splits.cross_split_coverage(df, "key", "body", "part", 5).collect()}
+    assert got == coverage(records, 5)
+
+
+def test_coverage_edges(spark):
+    schema = "key int, body string, part string"
+    rows = [(1, "abcdefgh", "train"), (2, "abcdefgh", None), (3, None, "holdout"), (4, "", "holdout"), (5, "", "train"), (None, "abcdefgh", "holdout")]
+    assert splits.cross_split_coverage(spark.createDataFrame(rows, schema), "key", "body", "part").count() == 0
+    assert splits.cross_split_coverage(spark.createDataFrame([], schema), "key", "body", "part").count() == 0
+    with pytest.raises(ValueError):
+        splits.cross_split_coverage(spark.createDataFrame(rows, schema), "key", "body", "part", 100)
+
+
+def test_label_overlaps(spark):
+    rows = [
+        (1, "/library/raw/2020/2020-01-01_x_sab12c/DSC01234.ARW", "dog", "train", "a"),
+        (2, "L:\\library\\exports\\sab12c_dsc01234_2048px.jpg", " DOG", "Holdout\t", "b"),
+        (3, "/library/raw/2020/2020-01-01_x_SAB12C/web/Copy of DSC01234-edit.jpg ", "dog", "holdout", "b"),
+        (4, "/library/raw/2020/2020-01-01_x_sab12c/DSC01235.ARW", "dog", "holdout", "b"),
+        (5, "/library/raw/2020/2020-01-01_x_sab12c/DSC01234.ARW", "cat", "holdout", "b"),
+        (6, "/library/raw/2020/2020-01-01_x_sab12c/DSC01234.ARW", "dog", None, "b"),
+        (7, None, "dog", "holdout", None),
+        (1, "/library/raw/2020/2020-01-01_x_sab12c/DSC01234.ARW", "dog", "train", "a"),
+        (9, "/x/2021_y_s00000/R5X-00007.JPG", "overall", "train", "c"),
+        (8, "/x/static-rig_s00000/r5x-00007 (1).jpeg", "overall", "holdout", "c"),
+    ]
+    df = spark.createDataFrame(rows, "label_id bigint, path string, target string, split string, source string").withColumn("record", F.lit("clash"))
+    assert {tuple(r) for r in splits.overlap_pairs(df).collect()} == {(1, 2), (1, 3), (8, 9)}
+    assert {tuple(r) for r in splits.overlap_report(df).collect()} == {("train", "a", 1), ("holdout", "b", 2), ("train", "c", 1), ("holdout", "c", 1)}
+
+
+# --- top N ----------------------------------------------------------------------------------
+
+
+def test_top_n(spark):
+    rng = random.Random(1)
+    rows = [("hot" if rng.random() < 0.5 else f"g{rng.randint(0, 30)}", f"i{rng.randint(0, 3000):05d}", float(rng.randint(0, 5))) for _ in range(5000)]
+    rows += [("ties", f"t{i}", 1.0) for i in range(50)] + [(None, "x", 1.0), ("n", None, 1.0), ("n", "y", None), ("n", "z", float("nan")), ("one", "only", -3.0)]
+    df = spark.createDataFrame(rows, "grp string, item string, score double").withColumn("s", F.lit("clash")).repartition(7)
+    truth = {}
+    for g, i, s in rows:
+        if g is not None and i is not None and s is not None and s == s:
+            truth.setdefault(g, []).append((-s, i))
+    truth = sorted((g, i, -s, k + 1) for g, v in truth.items() for k, (s, i) in enumerate(sorted(v)[:5]))
+    assert sorted(tuple(r) for r in topn.top_n_per_group(df, "grp", "item", "score", 5).collect()) == truth
+    assert topn.top_n_per_group(df.limit(0), "grp", "item", "score").count() == 0
+
+
+def test_top_n_sends_only_survivors(spark, monkeypatch):
+    monkeypatch.setattr(topn, "FLUSH_ROWS", 3)
+    df = spark.range(1000).select(F.lit("g").alias("g"), F.col("id").alias("i"), (F.col("id") % 10).cast("double").alias("v"))
+    assert [r.i for r in topn.top_n_per_group(df, "g", "i", "v", 3).orderBy("rank").collect()] == [9, 19, 29]
+
+
+# --- percentiles ----------------------------------------------------------------------------
+
+
+def test_sketch_error_and_merging():
+    rng = np.random.default_rng(0)
+    x = rng.lognormal(0, 2, 60_000)
+    parts = [quantiles.RelativeRankSketch() for _ in range(8)]
+    for i, chunk in enumerate(np.array_split(x, 64)):
+        parts[i % 8].update(chunk)
+    whole = quantiles.RelativeRankSketch()
+    for p in parts:
+        whole.merge(quantiles.RelativeRankSketch.from_bytes(p.to_bytes()))
+    assert whole.n == len(x) and sum(len(v.items) << h for h, v in enumerate(whole.levels)) == len(x)
+    ordered = np.sort(x)
+    for q, v in zip((0.5, 0.9, 0.99, 0.999), whole.quantiles((0.5, 0.9, 0.99, 0.999))):
+        want = int(np.ceil(q * len(x)))
+        assert abs(np.searchsorted(ordered, v) + 1 - want) <= quantiles.EPSILON * (len(x) - want) + 1
+    assert len(whole.to_bytes()) < 20_000
+    assert quantiles.RelativeRankSketch().quantiles([0.5]) == [None]
+    three = quantiles.RelativeRankSketch()
+    three.update(np.array([3.0, 1.0, 2.0]))
+    assert three.quantiles([0.0, 0.5, 1.0]) == [1.0, 2.0, 3.0]
+
+
+def test_sketches_in_frames(spark):
+    rows = [("a", float(i)) for i in range(1, 101)] + [(None, 5.0), ("a", None), ("a", float("nan")), ("a", float("inf"))]
+    df = spark.createDataFrame(rows, "key string, x double").withColumn("sketch", F.lit("clash")).withColumn("part", F.lit(1)).repartition(5)
+    got = {r.key: (r.n, r.p50, r.p99) for r in quantiles.sketch_quantiles(quantiles.build_sketches(df, ["key"], "x"), [0.5, 0.99], ["p50", "p99"]).collect()}
+    assert got == {"a": (100, 50.0, 99.0), None: (1, 5.0, 5.0)}
+    assert quantiles.build_sketches(df.limit(0), ["key"], "x").count() == 0
+
+
+def test_days_combine(spark, sf):
+    attempts = table(spark, sf, "attempts")
+    daily = quantiles.daily_latency_sketches(attempts)
+    days = [r.day for r in daily.select("day").distinct().collect()]
+    early, late = daily.filter(F.col("day") < sorted(d for d in days if d)[len(days) // 2]), daily
+    assert early.count() < late.count()
+    whole = quantiles.merge_sketches(daily, ["model", "task"])
+    assert whole.agg(F.sum("n")).first()[0] == quantiles.attempt_latencies(attempts).count()
+
+
+# --- encoding -------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return bpe.PrefixEncoder(bpe.read_ranks())
+
+
+def test_encoder_equals_the_library(encoder):
+    tiktoken = pytest.importorskip("tiktoken")
+    other = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=encoder.ranks, special_tokens={})
+    rng = random.Random(7)
+    texts = ["", " ", "\n\n  x", "it's we'LL", "<|endoftext|>", "a" * 5000, "日本語のテキスト。", "\u200b\ufeff\x00\x1b[0m", "🏳️‍🌈 é é", "ab  cd   \n"]
+    texts += ["".join(rng.choice(" abeinrstABé你🙂\n\t'.,01-_=​") for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    for t in texts:
+        assert encoder.encode(t) == other.encode_ordinary(t), repr(t)
+    assert encoder.encode(None) == []
+
+
+def test_encode_and_count(spark, encoder):
+    rows = [(1, "hello world"), (2, None), (3, ""), (3, ""), (None, "x" * 3000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("ids", F.lit("clash"))
+    got = sorted((r.doc_id or 0, list(r.ids)) for r in bpe.encode_column(df, "doc_id", "text").collect())
+    assert got == sorted((i or 0, encoder.encode(t)) for i, t in rows)
+    assert sorted((r.doc_id or 0, r.tokens) for r in bpe.count_column(df, "doc_id", "text").collect()) == sorted((i or 0, len(encoder.encode(t))) for i, t in rows)
+    assert bpe.encode_column(df.limit(0), "doc_id", "text").count() == 0
+
+
+# --- packing --------------------------------------------------------------------------------
+
+
+def test_local_search_beats_the_start():
+    sizes = np.array([6, 5, 4, 4, 3, 3, 3, 2])  # 30 in three tens
+    bins = packing.local_search([[0, 4], [1, 5], [2, 3], [6, 7]], sizes, 10)
+    assert sorted(x for b in bins for x in b) == list(range(8)) and len(bins) == 3
+    assert all(sizes[b].sum() <= 10 for b in bins)
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 70, 400)
+    bins = packing.local_search(packing.best_fit(sizes, 100), sizes, 100)
+    assert sorted(x for b in bins for x in b) == list(range(400)) and len(bins) <= -(-sizes.sum() // 100) + 2
+
+
+def test_containers(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice([0, 0, 1, 7, 50, 99, 100, 101, 250, 1000])) for i in range(700)] + [(1000, 30), (1000, 30), (None, 5), (2000, None), (2001, -1)]
+    df = spark.createDataFrame(rows, "doc bigint, n bigint").withColumn("id", F.lit("clash")).withColumn("bin", F.lit("clash"))
+    out = packing.fill_containers(df, "doc", "n", 100, shard_items=150).collect()
+    fill, have = {}, {}
+    for r in out:
+        fill[r.bin_id] = fill.get(r.bin_id, 0) + r["size"]
+        have.setdefault(r.doc, []).append((r.part, r.start, r["size"]))
+    assert max(fill.values()) <= 100
+    for doc, n in rows[:700]:
+        parts = sorted(have[doc])
+        assert sum(p[2] for p in parts) == n and (n <= 100) == (len(parts) == 1) and all(p[1] == 100 * p[0] for p in parts)
+    assert len(have[1000]) == 2 and not {None, 2000, 2001} & set(have)
+    total = sum(fill.values())
+    assert len([f for f in fill.values() if f]) <= -(-total // 100) + 6
+    assert packing.fill_containers(df.limit(0), "doc", "n", 100).count() == 0
+    with pytest.raises(ValueError):
+        packing.fill_containers(df, "doc", "n", 0)
+
+
+# --- spam -----------------------------------------------------------------------------------
+
+GOOD = [
+    "I was at the harbor before sunrise and the light stayed on the wet boards for ten minutes, so I kept both frames.",
+    "Pages I found useful\n\n- https://frame-4u.test We spoke about the crop for an hour and then about the red umbrella near the wall.\n- http://lens.example The tower in the back is half a stop dark, which nobody minded after all.",
+    "在码头的时候，我看到一位面包师傅把门慢慢地打开，这一组照片的光线最好。",
+    '{"subject": 8.5, "composition": 8.0}\n{"subject": 6.5, "composition": 7.0}',
+    "Packing list for the quarry\n[ ] the loaner, charged\n[x] the bean bag, only if it rains\n[ ] a small tripod",
+    "thanks!",
+]
+BAD = [
+    "cheap tripod, camera repair, lens cap, cheap tripod, wedding photographer, cheap tripod, lens cap, camera repair",
+    "1) best lens - https://lens-world.example/a?ref=1\n2) best lens - http://lens-mart.test/b\n3) cheap tripod - hxxp://tripod.invalid/x\n4) lens cap - caps dot example/y",
+    "SKU 123 tags: strap|bag|lens|strap\nSKU 124 tags: bag|bag|lens cap\nSKU 125 tags: strap|lens|flash|bag",
+    "Get wedding photographer, lens cap, more wedding photographer and again wedding photographer here! Get wedding photographer, lens cap, more wedding photographer and again wedding photographer here!",
+    "无人机租赁, 影楼套餐, 无人机租赁, 修图服务, 影楼套餐, 无人机租赁, 摄影包",
+    "camera repair in Ashmoor\ncamera repair in Harrowfen\ncamera repair in Port Sallow\ncamera repair in Eastmere\ncamera repair in Lower Tarn",
+]
+
+
+def test_spam_features_and_labels():
+    x = np.array([spam.page_features(t) for t in GOOD + BAD])
+    assert spam.weak_labels(x).tolist() == [0] * len(GOOD) + [1] * len(BAD)
+    assert spam.page_features(None) == spam.page_features(" \n") == [0.0] * len(spam.FEATURES)
+
+
+def test_spam_held_out_accuracy(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(300):
+        pool = BAD if i % 3 == 0 else GOOD
+        rows.append((i, f"{rng.choice(pool)}\n{rng.choice(pool)}", rng.choice(["a.example", "B.example ", None])))
+    rows += [(900, None, "a.example"), (901, "", None), (901, "", None), (902, "ok", "a.example")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("x", F.lit("clash")).withColumn("host", F.lit("clash"))
+    scores = {r.doc_id: r.score for r in spam.spam_scores(df).collect()}
+    right = [(scores[i] > 0.5) == (i % 3 == 0) for i in range(300)]
+    assert sum(right) / len(right) > 0.98 and scores[900] == scores[901] == scores[902] == 0.0
+    assert spam.spam_scores(df).count() == len(rows)
+    assert spam.spam_documents(df.limit(0)).count() == 0
+    only_good = df.filter(F.col("doc_id") % 3 != 0).filter("doc_id < 300")
+    assert spam.spam_documents(only_good).count() == 0
+
+
+def test_trees():
+    rng = np.random.default_rng(0)
+    x = rng.random((600, 4))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    forest = spam.fit_trees(x[:400], y[:400])
+    assert ((spam.predict_trees(forest, x[400:]) > 0.5) == y[400:]).mean() > 0.85
+    assert json.dumps(forest[0][0][:2])
