@@ -289,3 +289,38 @@ def first_true(rules: Sequence[tuple[Column, str]], otherwise: str | None = None
     for condition, name in rules[1:]:
         out = out.when(condition, name)
     return out.otherwise(otherwise)
+
+
+def scene_of_detections(labels: Column, people: Column, faces: Column) -> Column:
+    """Scene from detected labels: people first, then animals, vehicles as city, food and plants as detail, else other."""
+    has = lambda *names: F.arrays_overlap(labels, F.array(*[F.lit(n) for n in names]))
+    return F.when((people > 0) | (faces > 0), "people").when(has("animal", "bird", "cat", "dog", "horse"), "animals").when(has("car", "bus", "train", "bicycle"), "city").when(has("food", "flower", "cup"), "detail").otherwise("other")
+
+
+def landmark_area(points: Column) -> Column:
+    """Area of the box around an array of ``[x, y]`` points; 0 for fewer than two."""
+    xs, ys = F.transform(points, lambda p: p[0]), F.transform(points, lambda p: p[1])
+    area = (F.array_max(xs) - F.array_min(xs)) * (F.array_max(ys) - F.array_min(ys))
+    return F.when(F.size(points) >= 2, area).otherwise(0.0)
+
+
+def downscale_ratio(width: Column, height: Column, longest: float) -> Column:
+    """Factor that brings the longer edge to ``longest``; never enlarges."""
+    return F.least(F.lit(1.0), F.lit(float(longest)) / F.greatest(width, height))
+
+
+def focus_confidence(ratio: Column, source: Column) -> Column:
+    """Trust in a focus measurement by its source, less for strongly reduced images."""
+    base = F.when(source == "eye_roi", 0.9).when(source == "given", 0.75).when(source == "saliency", 0.35).otherwise(0.2)
+    return base * F.when(ratio < 0.25, 0.8).when(ratio < 0.5, 0.9).otherwise(1.0)
+
+
+def ranked_labels(labels: Column, logits: Column) -> Column:
+    """``array<struct<p, label>>`` of labels by their softmax probability, greatest first, ties by label."""
+    pairs = F.arrays_zip(softmax(logits).alias("p"), labels.alias("label"))
+    return F.array_sort(pairs, lambda a, b: F.when(a["p"] > b["p"], -1).when(a["p"] < b["p"], 1).when(a["label"] < b["label"], -1).when(a["label"] > b["label"], 1).otherwise(0))
+
+
+def replaced_signal(signals: Column, key: str, value: Column) -> Column:
+    """An array of ``struct<signal_key, value>`` with one key replaced or added."""
+    return F.concat(F.filter(signals, lambda s: s["signal_key"] != key), F.array(F.struct(F.lit(key).alias("signal_key"), value.cast("double").alias("value"))))

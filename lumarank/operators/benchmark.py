@@ -45,12 +45,13 @@ def summary_of_attempts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return sums.join(examples, condition, "left").select(*[sums[k] for k in keys], "attempts", "json_rate", "schema_rate", "mean_latency_ms", "mean_quality", "failures")
 
 
-def nearest_in_blocks(rows: DataFrame, item: str, vector: str, group: str, block_rows: int = 4096) -> DataFrame:
+def nearest_in_blocks(rows: DataFrame, item: str, vector: str, group: str, block_rows: int = 4096, other_groups: bool = False) -> DataFrame:
     """``(item, group, neighbour, neighbour_group, cos)``: the most similar other item of every item.
 
     Exact: the collection is cut into blocks and every pair of blocks is one task's matrix
     product, so that nothing is held whole; each task keeps one candidate per item. Equal
-    similarities (to nine decimals) go to the smaller item. For millions of vectors use an
+    similarities (to nine decimals) go to the smaller item. With ``other_groups`` only items of
+    another group count. For millions of vectors use an
     index instead; this is the check of one.
     """
     total = rows.count()
@@ -66,6 +67,8 @@ def nearest_in_blocks(rows: DataFrame, item: str, vector: str, group: str, block
         unit = lambda s: (m := np.stack(s.to_list())) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
         cos = np.round(unit(q["v"]) @ unit(d["v"]).T, 9)
         cos[q["i"].to_numpy()[:, None] == d["i"].to_numpy()[None, :]] = -9
+        if other_groups:
+            cos[q["g"].to_numpy()[:, None] == d["g"].to_numpy()[None, :]] = -9
         at = cos.argmax(axis=1)
         out = pd.DataFrame({"i": q["i"].to_numpy(), "n": d["i"].to_numpy()[at], "ng": d["g"].to_numpy()[at], "cos": cos[np.arange(len(q)), at]})
         return out[out["cos"] > -9]

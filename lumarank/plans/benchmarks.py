@@ -314,3 +314,34 @@ def reason_sets(spark: SparkSession, root: str) -> DataFrame:
         F.arrays_overlap(reasons, F.array(F.lit("soft focus"), F.lit("tilted horizon"))).alias("technical"),
         F.size(F.array_except(F.array(F.lit("soft focus"), F.lit("busy edges")), reasons)).alias("missing"),
     ).distinct()
+
+
+@query(
+    "label_separation",
+    f"""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.label, {r('max(list_cosine_similarity(a.v, b.v))')} AS nearest_other FROM e a JOIN e b ON a.label <> b.label GROUP BY a.label""",
+)
+def label_separation(spark: SparkSession, root: str) -> DataFrame:
+    """The greatest similarity of any vector of a label to one of another label, in blocks."""
+    rows = B.nearest_in_blocks(table(spark, root, "embeddings"), "vec_id", "embedding", "label", other_groups=True)
+    return rows.groupBy(F.col("label").cast("int").alias("label")).agg(half_up(F.max("cos"), 4).alias("nearest_other"))
+
+
+@query("fastest_profile", _ATT + f", m AS (SELECT task, candidate.image_max_edge AS edge, {r('median(latency_ms)', 2)} AS ms FROM att WHERE latency_ms IS NOT NULL GROUP BY ALL) SELECT task, arg_min(edge, (ms, edge)) AS edge, min(ms) AS median_ms FROM m GROUP BY task")
+def fastest_profile(spark: SparkSession, root: str) -> DataFrame:
+    """The image size with the lowest median latency per task."""
+    rows = attempts(spark, root).filter(F.col("latency_ms").isNotNull()).groupBy("task", F.col("candidate.image_max_edge").alias("edge")).agg(half_up(F.median("latency_ms")).alias("ms"))
+    return rows.groupBy("task").agg(F.min_by("edge", F.struct("ms", "edge")).alias("edge"), F.min("ms").alias("median_ms"))
+
+
+@query(
+    "label_ranking",
+    f"""WITH u AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT vec_id, i, x, max(x) OVER (PARTITION BY vec_id) AS top FROM u WHERE i < 8),
+p AS (SELECT vec_id, i, exp(x - top) / sum(exp(x - top)) OVER (PARTITION BY vec_id) AS p FROM m) SELECT vec_id, 'label_' || i AS best, {r('p', 6)} AS probability FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, i) AS k FROM p) WHERE k = 1""",
+)
+def label_ranking(spark: SparkSession, root: str) -> DataFrame:
+    """The most probable of eight labels by the softmax of their similarities."""
+    from lumarank.functions.scoring import ranked_labels
+
+    names = F.array(*[F.lit(f"label_{i}") for i in range(8)])
+    rows = table(spark, root, "embeddings").select("vec_id", ranked_labels(names, F.slice(F.col("embedding").cast("array<double>"), 1, 8))[0].alias("x"))
+    return rows.select("vec_id", F.col("x.label").alias("best"), half_up(F.col("x.p"), 6).alias("probability"))

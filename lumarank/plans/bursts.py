@@ -145,3 +145,23 @@ def boundary_hamming(spark: SparkSession, root: str) -> DataFrame:
     rows = rows.filter(F.col("phash").rlike("^[0-9a-f]{16}$")).withColumn("folder", F.regexp_replace("file_path", "/[^/]*$", "")).withColumn("v", hash_value(F.col("phash")))
     before = F.lag("v").over(Window.partitionBy("folder").orderBy("file_path"))
     return rows.withColumn("before", before).filter(F.col("before").isNotNull()).select("file_path", hamming(F.col("v"), F.col("before")).alias("bits"))
+
+
+@query("event_windows", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def event_windows(spark: SparkSession, root: str) -> DataFrame:
+    """Events per day and type, counted by a stream over the table's file and read when it has caught up."""
+    from lumarank.streaming.progress import run_to_table, rate_windows
+
+    schema = table(spark, root, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(root)
+    return run_to_table(rate_windows(stream, "ts", "1 day", None, "1 day", ["event_type"]), "complete").select("start", "event_type", "n")
+
+
+@query("event_sessions_stream", _ISL + "SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS members FROM i GROUP BY user_id, island")
+def event_sessions_stream(spark: SparkSession, root: str) -> DataFrame:
+    """Bursts of events found by a stream."""
+    from lumarank.streaming.progress import run_to_table, burst_stream
+
+    schema = table(spark, root, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(root)
+    return run_to_table(burst_stream(stream, "ts", ["user_id"], "30 minutes 1 microsecond", "1 hour"), "complete")

@@ -359,3 +359,20 @@ def score_histogram(spark: SparkSession, root: str) -> DataFrame:
     return rows.groupBy(F.coalesce("decision", F.lit("none")).alias("decision"), "scene_key").agg(
         F.count("*").alias("photos"), half_up(F.min(t), 4).alias("low"), half_up(F.avg(t), 4).alias("mean"), half_up(F.max(t), 4).alias("high")
     )
+
+
+@query(
+    "signals_or_legacy",
+    WIDE
+    + """, stored AS (SELECT file_path, unnest(map_entries(visible_breakdown)) AS e FROM cur WHERE visible_breakdown IS NOT NULL), s AS (SELECT file_path, count(*) AS n FROM stored WHERE e.value IS NOT NULL AND NOT isnan(e.value) GROUP BY file_path)
+SELECT w1.file_path, CASE WHEN s.n > 0 THEN 'stored' ELSE 'legacy' END AS origin, CASE WHEN s.n > 0 THEN s.n ELSE """
+    + " + ".join(f"(sig_{k} IS NOT NULL)::INT" for k in SIGNALS)
+    + " END AS signals FROM w1 LEFT JOIN s ON s.file_path = w1.file_path",
+)
+def signals_or_legacy(spark: SparkSession, root: str) -> DataFrame:
+    """Where a photo's signals come from: the stored ones, else those of its legacy scores."""
+    rows = wide_signals(current(spark, root, *SCORES, "visible_breakdown"))
+    stored = F.size(F.filter(F.map_values("visible_breakdown"), lambda v: v.isNotNull() & ~F.isnan(v)))
+    stored = F.when(F.col("visible_breakdown").isNotNull(), stored).otherwise(0)
+    legacy = sum((F.col(k).isNotNull().cast("int") for k in SIGNALS), F.lit(0))
+    return rows.select("file_path", F.when(stored > 0, "stored").otherwise("legacy").alias("origin"), F.when(stored > 0, stored).otherwise(legacy).alias("signals"))

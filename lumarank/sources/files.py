@@ -85,6 +85,31 @@ def decode_netpbm(path: str, content: bytes) -> tuple[int, int, bytes]:
     return height, width, pixels
 
 
+def embedded_jpeg(content: bytes) -> bytes | None:
+    """The largest JPEG inside a camera raw file: its preview, which needs no demosaicing."""
+    best, at = b"", content.find(b"\xff\xd8\xff")
+    while at >= 0:
+        end = content.find(b"\xff\xd9", at)
+        if end < 0:
+            break
+        if end + 2 - at > len(best):
+            best = content[at : end + 2]
+        at = content.find(b"\xff\xd8\xff", at + 3)
+    return best or None
+
+
+def routed(files: DataFrame, raster: Callable[[str, bytes], tuple[int, int, bytes]], raw: Callable[[str, bytes], tuple[int, int, bytes]], raster_extensions: Sequence[str] = RASTER) -> DataFrame:
+    """Decodes ``(path, content)`` by the raster or the raw decoder, as the extension says."""
+    is_raster = F.upper(F.regexp_extract("path", "\\.([^./]+)$", 1)).isin(*raster_extensions)
+    return decode(files.filter(is_raster), raster).unionByName(decode(files.filter(~is_raster), raw))
+
+
+def outdated(sources: DataFrame, derived: DataFrame, key: str = "path") -> DataFrame:
+    """Sources whose derived file (a thumbnail) is missing or older."""
+    made = derived.select(F.col(key), F.col("mtime").alias("__made"))
+    return sources.join(made, key, "left").filter(F.col("__made").isNull() | (F.col("__made") < F.col("mtime"))).drop("__made")
+
+
 def exif_time(content: bytes) -> str | None:
     """The original capture time text of a JPEG's or TIFF's EXIF block, if any."""
     start = content.find(b"Exif\x00\x00")

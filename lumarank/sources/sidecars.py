@@ -90,3 +90,14 @@ def read_sidecars(spark: SparkSession, root: str) -> DataFrame:
 def cleared_where_recorded(current: Column, recorded: Column) -> Column:
     """Null where the sidecar still holds what was recorded, else the current value."""
     return F.when(current.cast("string").eqNullSafe(recorded.cast("string")), F.lit(None)).otherwise(current)
+
+
+def rewrite_sidecars(results: DataFrame, existing: DataFrame) -> int:
+    """Writes the sidecar of every finished result again and returns how many.
+
+    ``results``: ``(file_path, status, star_rating, tags array<string>, line, description)``.
+    """
+    rows = sidecar_paths(results.filter(F.col("status") == "done"), existing)
+    empty = F.array().cast("array<string>")
+    text = sidecar_text(F.coalesce("star_rating", F.lit(0)), empty, F.coalesce("tags", empty), F.coalesce("line", F.lit("")), F.coalesce("description", F.lit("")))
+    return write_sidecars(rows.withColumn("content", text))

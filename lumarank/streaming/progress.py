@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,16 +24,25 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, per_batch: i
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).option("pathGlobFilter", glob).parquet(path)
 
 
+def _instants(events: DataFrame, time: str) -> tuple[DataFrame, str]:
+    """Events with ``time`` as an instant, which watermarks need, and the type to give back."""
+    kind = events.schema[time].dataType.simpleString()
+    return events.withColumn(time, F.col(time).cast("timestamp")), kind
+
+
 def burst_stream(events: DataFrame, time: str, keys: Sequence[str], gap: str, late: str) -> DataFrame:
     """Bursts that a gap of more than ``gap`` closes, emitted once no later row within ``late`` can join."""
-    return events.withWatermark(time, late).groupBy(*keys, F.session_window(time, gap)).agg(F.min(time).alias("started"), F.max(time).alias("ended"), F.count("*").alias("members")).drop("session_window")
+    rows, kind = _instants(events, time)
+    out = rows.withWatermark(time, late).groupBy(*keys, F.session_window(time, gap)).agg(F.min(time).alias("started"), F.max(time).alias("ended"), F.count("*").alias("members"))
+    return out.select(*keys, F.col("started").cast(kind).alias("started"), F.col("ended").cast(kind).alias("ended"), "members")
 
 
 def rate_windows(events: DataFrame, time: str, width: str, slide: str | None, late: str, keys: Sequence[str] = ()) -> DataFrame:
     """Counts in tumbling or sliding windows with late rows admitted up to ``late``."""
+    rows, kind = _instants(events, time)
     window = F.window(time, width, slide) if slide else F.window(time, width)
-    counts = events.withWatermark(time, late).groupBy(window, *keys).agg(F.count("*").alias("n"))
-    return counts.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *keys, "n")
+    counts = rows.withWatermark(time, late).groupBy(window, *keys).agg(F.count("*").alias("n"))
+    return counts.select(F.col("window.start").cast(kind).alias("start"), F.col("window.end").cast(kind).alias("end"), *keys, "n")
 
 
 def only_new(batch: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -67,3 +77,17 @@ def incremental_sink(stream: DataFrame, state: str, keys: Sequence[str], checkpo
         out.write.mode("overwrite").parquet(f"{state}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
+    """Runs a streaming aggregation over all that has arrived and returns its result.
+
+    The result is kept by the session under a name of its own; for results of the size of an
+    aggregate, as the complete mode's are.
+    """
+    name = f"stream_{uuid.uuid4().hex}"
+    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    return stream.sparkSession.table(name)
