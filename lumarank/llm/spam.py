@@ -33,16 +33,21 @@ _RECORD = re.compile(
 )
 _SEGMENT = re.compile(r"[\n,;|/·•、，；。！？!?:：…\t]+|\.(?=\s|$)|\s{2,}|\s[-–—]\s")
 _CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
+_KANA = re.compile(r"[\u3040-\u30ff]")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2028-\u202e\u2060-\u2064\ufeff\u0000-\u0008\u000b\u000c\u000e-\u001f\ufffd]")
+#: Terminal codes and marks of model vocabularies that ended up inside words.
+_MARKS = re.compile(r"\x1b\[[0-9;]*[A-Za-z]|</?s>|<(?:unk|pad|mask)>|<\|\w+\|>")
 # Frequent function words of English, German and Spanish, and function characters of Chinese and Japanese.
 _FUNCTION = frozenset(
     """the a an of to in on at by and or but is are was were be been it its this that these those i you he she we they my your his her our their
     not no for with from as than then so if when while until before after because although though what which who how one do does did has have had
     would could should will can may might must more most all any some every each there here about into over under between through against near
     der die das den dem des ein eine einen einem einer und oder aber ist sind war waren sein es ich du er sie wir ihr nicht kein keine für mit von
+    beim man also alles etwas ob sollte trotzdem jedenfalls warum niemand kaum gegen zwei erst mehr da doch schon hier
     aus als dann so wenn weil dass was wer wie nur auch noch bei nach vor zu zum zur im am auf an um bis über unter zwischen hat haben hatte
     el la los las un una unos unas de del y o pero es son era eran ser estar está yo tú él ella nosotros no para con desde como que si cuando
+    nos solo así dos antes apenas dónde cada tan ya algo nadie donde cuando pude hubo
     porque aunque más muy se me te le lo su sus mi al en por hay fue sin sobre entre hasta""".split()
 )
 _FUNCTION_CJK = frozenset("的了在是我有和就不都也很把这那你他她它们着过到得被让给从对与及但而或如果因为所以没再最为にをはがのでとものへやかられたてすまいせんだ")
@@ -130,17 +135,25 @@ def _stuffed(unit: str, in_text: Counter, heavy: set[str]) -> bool:
         return units <= 5 * links or bare
     if not units:
         return False
-    if bare or _heavy_share(words, heavy) >= 0.5:
+    if bare:
+        return True
+    if any(c >= 3 and in_text[p] >= 3 for p, c in Counter(_phrases(words)).items()):
+        return True
+    # prose repeats itself as well, but with the function words that hold sentences together
+    if func - words.count("de") >= (0.6 if _KANA.search(unit) else 0.3) * units:
+        return False
+    if _heavy_share(words, heavy) >= 0.5:
         return True
     phrases = Counter(_phrases([w for w in words if w != "de"]))
-    if 4 <= units <= 8 and func - words.count("de") <= 1 and any(in_text[p] >= 2 for p in phrases):
-        return True  # "<repeated phrase> in <town>"
+    if units <= 8 and func - words.count("de") <= 1:  # "<repeated phrase> in <town>"
+        if _heavy_share(words, heavy) >= 0.35 or (units >= 4 and any(in_text[p] >= 2 for p in phrases)):
+            return True
     return any(c >= 2 and in_text[p] >= 3 for p, c in phrases.items())
 
 
 def page_features(text: str | None) -> list[float]:
     """The FEATURES of a whole text; all zero for null, empty and blank texts."""
-    text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", html.unescape(text or "")))
+    text = _INVISIBLE.sub("", _MARKS.sub("", unicodedata.normalize("NFKC", html.unescape(text or ""))))
     if not text.strip():
         return [0.0] * len(FEATURES)
     size = len(text)
