@@ -33,6 +33,7 @@ _RECORD = re.compile(
 )
 _SEGMENT = re.compile(r"[\n,;|/·•、，；。！？!?:：…\t]+|\.(?=\s|$)|\s{2,}|\s[-–—]\s")
 _CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
+_CLAUSE = re.compile(r"[\u3040-\u309f\u3400-\u9fff]+")  # loan words in katakana are long on their own
 _KANA = re.compile(r"[\u3040-\u30ff]")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2028-\u202e\u2060-\u2064\ufeff\u0000-\u0008\u000b\u000c\u000e-\u001f\ufffd]")
@@ -64,7 +65,7 @@ def _segment_parts(segment: str) -> tuple[list[str], int, int, int]:
     for w in words:
         c = len(_CJK.findall(w))
         if c:
-            run = max(run, c)
+            run = max(run, max(map(len, _CLAUSE.findall(w)), default=0))
             units += max(1, c // 2)
             func += sum(ch in _FUNCTION_CJK for ch in w)
         else:
@@ -90,9 +91,9 @@ def _tokens(words: list[str]) -> list[str]:
 
 
 def _heavy_tokens(words: list[str]) -> set[str]:
-    """Tokens that a text repeats more than writing does: at least three times and 3 % of all."""
+    """Tokens that a text repeats more than writing does: at least three times and 2 % of all."""
     counts = Counter(_tokens(words))
-    least = max(3, 0.03 * sum(counts.values()))
+    least = max(3, 0.02 * sum(counts.values()))
     return {t for t, c in counts.items() if c >= least}
 
 
@@ -139,15 +140,16 @@ def _stuffed(unit: str, in_text: Counter, heavy: set[str]) -> bool:
         return True
     if any(c >= 3 and in_text[p] >= 3 for p, c in Counter(_phrases(words)).items()):
         return True
+    phrases = Counter(_phrases([w for w in words if w != "de"]))
+    joined = func - words.count("de")
+    if 3 <= units <= 8 and joined <= 1:  # "<repeated phrase> in <town>"
+        if _heavy_share(words, heavy) >= 0.35 or (units >= 4 and any(in_text[p] >= 2 for p in phrases)):
+            return True
     # prose repeats itself as well, but with the function words that hold sentences together
-    if func - words.count("de") >= (0.6 if _KANA.search(unit) else 0.3) * units:
+    if joined >= (0.6 if _KANA.search(unit) else 0.3) * units:
         return False
     if _heavy_share(words, heavy) >= 0.5:
         return True
-    phrases = Counter(_phrases([w for w in words if w != "de"]))
-    if units <= 8 and func - words.count("de") <= 1:  # "<repeated phrase> in <town>"
-        if _heavy_share(words, heavy) >= 0.35 or (units >= 4 and any(in_text[p] >= 2 for p in phrases)):
-            return True
     return any(c >= 2 and in_text[p] >= 3 for p, c in phrases.items())
 
 
@@ -181,7 +183,7 @@ def page_features(text: str | None) -> list[float]:
         if _LINK.search(line) or _TAG_LINE.match(line):
             pieces = _link_pieces(line)
         else:
-            pieces = [] if _RECORD.match(line) else _SENTENCE.findall(line)
+            pieces = [] if _RECORD.match(line) else [p for x in _SENTENCE.findall(line) for p in x.split("|") if p.strip()]
             seen += len(line) if not pieces else 0
         for piece in pieces:
             chars = len(piece.strip())
