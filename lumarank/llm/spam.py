@@ -27,6 +27,10 @@ _LINK = re.compile(
     r"|\b[\w-]{2,}(?:\s?(?:\.|\[\.\]|\(\.\)|\sdot\s)\s?[a-z][\w-]*){0,3}?\s?(?:\.|\[\.\]|\(\.\)|\sdot\s)\s?(?:example|invalid|test|com|net|org|info|shop|site|online|de|cn|es|jp|ru|biz|xyz|io)\b(?:[/?][^\s\])<>\"]*)?)",
     re.I,
 )
+#: What every link holds; lines without it are spared the search above.
+_MAYBE_LINK = re.compile(
+    r"://|:\s//|www\.|\[/?url|</?a\b|\]\(|(?:\.|\[\.\]|\(\.\)|\bdot)\s?(?:example|invalid|test|com|net|org|info|shop|site|online|de|cn|es|jp|ru|biz|xyz|io)\b", re.I
+)
 _TAG_LINE = re.compile(r"^\W*(?:[\w.#-]+\W+){0,3}?(?:tags?|labels?|keywords?|products?|categor(?:y|ies)|brand|related|etiquetas|schlagw\w+|stichw\w+|标签|关键词|タグ|キーワード)\s*[:：]", re.I)
 _RECORD = re.compile(
     r"^\s*(?:[\[{}\]]|\"[^\"]*\"\s*:|\[[ xX✓]?\]|[-*•]\s*\[[ xX]?\]|[A-Z][\w /-]{1,24}\s*[:=]\s*\S|\d{4}-\d\d-\d\d[T ]|\d\d:\d\d:\d\d|##?\s|-\s+(?:Added|Changed|Fixed|Removed|Reduced|Corrected)\b|(?:INFO|WARN|WARNING|ERROR|DEBUG)\b|[\w.]+\s*=\s)"
@@ -63,6 +67,10 @@ def _segment_parts(segment: str) -> tuple[list[str], int, int, int]:
     words = _WORD.findall(segment)
     units = func = run = 0
     for w in words:
+        if w.isascii():
+            units += 1
+            func += w in _FUNCTION
+            continue
         c = len(_CJK.findall(w))
         if c:
             run = max(run, max(map(len, _CLAUSE.findall(w)), default=0))
@@ -83,7 +91,7 @@ def _tokens(words: list[str]) -> list[str]:
     """Content words and, of CJK runs, the adjacent pairs of content characters."""
     found = []
     for w in words:
-        if _CJK.search(w):
+        if not w.isascii() and _CJK.search(w):
             found += [g for g in (w[i : i + 2] for i in range(len(w) - 1)) if _FUNCTION_CJK.isdisjoint(g)]
         elif w not in _FUNCTION and not w.isdigit():
             found.append(w)
@@ -101,7 +109,7 @@ def _heavy_share(words: list[str], heavy: set[str]) -> float:
     """Share of a unit's content that heavy tokens cover; a CJK character is half a word."""
     of_heavy = content = 0.0
     for w in words:
-        if _CJK.search(w):
+        if not w.isascii() and _CJK.search(w):
             content += sum(ch not in _FUNCTION_CJK for ch in w) / 2
             inside = {k for i in range(len(w) - 1) if w[i : i + 2] in heavy for k in (i, i + 1)}
             of_heavy += len(inside) / 2
@@ -111,10 +119,18 @@ def _heavy_share(words: list[str], heavy: set[str]) -> float:
     return of_heavy / content if content else 0.0
 
 
+def _links(text: str) -> list[re.Match]:
+    return list(_LINK.finditer(text)) if _MAYBE_LINK.search(text) else []
+
+
+def _unlinked(text: str, instead: str = " ") -> str:
+    return _LINK.sub(instead, text) if _MAYBE_LINK.search(text) else text
+
+
 def _link_pieces(line: str) -> list[str]:
     """A line with links, cut behind sentence ends that aren't part of a link."""
     inside = bytearray(len(line) + 1)
-    for m in _LINK.finditer(line):
+    for m in _links(line):
         inside[m.start() : m.end()] = b"\x01" * (m.end() - m.start())
     pieces, start = [], 0
     for m in re.finditer(r"[.!?](?=\s)|[。！？]", line):
@@ -129,8 +145,8 @@ _SENTENCE = re.compile(r"[^\n.!?。！？]+(?:\.(?=\S)[^\n.!?。！？]+)*[.!?
 
 def _stuffed(unit: str, in_text: Counter, heavy: set[str]) -> bool:
     """Whether a sentence or line is a bare list of phrases, of links or repeats a phrase for its own sake."""
-    links = len(_LINK.findall(unit))
-    words, units, func, run = _segment_parts(_LINK.sub(" ", unit).lower())
+    links = len(_links(unit))
+    words, units, func, run = _segment_parts((_LINK.sub(" ", unit) if links else unit).lower())
     bare = func < 0.12 * units and run <= PHRASE_RUN
     if links:
         return units <= 5 * links or bare
@@ -163,7 +179,7 @@ def page_features(text: str | None) -> list[float]:
     for line in text.split("\n"):
         if not line.strip():
             continue
-        found = list(_LINK.finditer(line))
+        found = _links(line)
         chars = sum(m.end() - m.start() for m in found)
         links += len(found)
         link_chars += chars
@@ -175,12 +191,12 @@ def page_features(text: str | None) -> list[float]:
             tag_chars += len(line)
         elif not found and _RECORD.match(line):
             record_chars += len(line)
-    plain = _LINK.sub(" | ", text).lower()
+    plain = _unlinked(text, " | ").lower()
     all_words = _WORD.findall(plain)
     in_text, heavy = Counter(_phrases([w for w in all_words if w != "de"])), _heavy_tokens(all_words)
     stuffed = seen = 0
     for line in text.split("\n"):
-        if _LINK.search(line) or _TAG_LINE.match(line):
+        if _links(line) or _TAG_LINE.match(line):
             pieces = _link_pieces(line)
         else:
             pieces = [] if _RECORD.match(line) else [p for x in _SENTENCE.findall(line) for p in x.split("|") if p.strip()]
@@ -228,7 +244,7 @@ def page_features(text: str | None) -> list[float]:
         tag_chars / size,
         sum(plain.count(c) for c in ",|/") / total,
         sum(text.count(c) for c in ".!?。！？") / total,
-        sum(ch.isdigit() for ch in text) / size,
+        sum(map(str.isdigit, text)) / size,
         record_chars / size,
         repeated / total,
         float(np.log1p(units)),
