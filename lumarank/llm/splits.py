@@ -6,7 +6,7 @@ piece of the suffix array. For each suffix the nearest suffix of another split a
 gives the longest common prefix, i.e. the longest span that starts there and occurs in another
 split. Spans of at least ``min_span`` characters merge into per-record coverage. The nearest
 suffix of another split may lie in another partition: a first pass takes from every partition
-the outermost windows of each split (a few rows per partition); an ascending and a descending
+the outermost windows of two splits (four rows a partition); an ascending and a descending
 sweep over the partitions use them. A run of equal windows may cross partitions, so that a
 text that a third of all records repeat is no group of its own.
 
@@ -49,32 +49,46 @@ def _part() -> int:
     return TaskContext.get().partitionId()
 
 
+class _Nearest:
+    """The latest window and the latest one of another split than that: all that later suffixes need.
+
+    In sorted order the nearest earlier suffix shares the longest prefix, so older ones don't count.
+    """
+
+    def __init__(self, known: list[tuple[str, str]]):
+        self.top = list(known[:2])  # (split, window), latest first, of different splits
+
+    def step(self, window: str, split: str) -> int:
+        """Length of the longest prefix shared with an earlier window of another split."""
+        other = next((w for s, w in self.top if s != split), None)
+        self.top = [(split, window), *(x for x in self.top if x[0] != split)][:2]
+        return 0 if other is None else _common(window, other)
+
+
 def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The first and the last window of each split in this piece of the suffix array."""
-    first: dict[str, str] = {}
-    last: dict[str, str] = {}
+    """Of this piece of the suffix array the outermost windows of two different splits at either end."""
+    first: list[tuple[str, str]] = []
+    last = _Nearest([])
     for pdf in batches:
         for split, window in zip(pdf["s"], pdf["w"]):
-            first.setdefault(split, window)
-            last[split] = window
+            if len(first) < 2 and all(s != split for s, _ in first):
+                first.append((split, window))
+            last.step(window, split)
     part = _part()
-    yield pd.DataFrame([(part, s, first[s], last[s]) for s in first], columns=["part", "s", "first", "last"])
+    rows = [(part, side, i, s, w) for side, ends in (("first", first), ("last", last.top)) for i, (s, w) in enumerate(ends)]
+    yield pd.DataFrame(rows, columns=["part", "side", "place", "s", "w"])
 
 
-def _spans(outside: dict[int, dict[str, str]], min_span: int):
+def _spans(outside: dict[int, list[tuple[str, str]]], min_span: int):
     """For each suffix the common prefix with the nearest one of another split that came before it.
 
-    ``outside`` has for each partition what the partitions passed earlier left last. Only the
-    latest window of each split is held, whatever the length of a run of equal windows.
+    ``outside`` has for each partition the latest windows of the partitions passed earlier.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = dict(outside.get(_part(), {}))
+        near = _Nearest(outside.get(_part(), []))
         for pdf in batches:
-            length = []
-            for window, split in zip(pdf["w"].tolist(), pdf["s"].tolist()):
-                length.append(max((_common(window, w) for s, w in seen.items() if s != split), default=0))
-                seen[split] = window
+            length = [near.step(window, split) for window, split in zip(pdf["w"].tolist(), pdf["s"].tolist())]
             out = pd.DataFrame({"id": pdf["id"].to_numpy(), "o": pdf["o"].to_numpy(), "n": length})
             yield out[out["n"] >= min_span]
 
@@ -100,15 +114,19 @@ def cross_split_coverage(df: DataFrame, id_column: str, text_column: str, split_
     starts = F.expr(f"sequence(1, greatest(length(t) - {min_span - 1}, 1))")
     suffixes = records.select("id", "s", "t", F.explode(starts).alias("o")).select("id", "s", (F.col("o") - 1).alias("o"), F.expr(f"substring(t, o, {WINDOW})").alias("w"))
     ordered = cut(suffixes.repartitionByRange(parallelism(df.sparkSession), "w", "id").sortWithinPartitions("w", "id"))
-    edges = ordered.mapInPandas(_edges, "part int, s string, first string, last string").collect()  # splits x partitions rows
-    before: dict[int, dict[str, str]] = {}
-    after: dict[int, dict[str, str]] = {}
-    parts = sorted({e["part"] for e in edges})
-    for run, key, store in ((parts, "last", before), (parts[::-1], "first", after)):
-        reached: dict[str, str] = {}
+    edges = ordered.mapInPandas(_edges, "part int, side string, place int, s string, w string").collect()  # four rows a partition at most
+    before: dict[int, list[tuple[str, str]]] = {}
+    after: dict[int, list[tuple[str, str]]] = {}
+    ends: dict[tuple[int, str], list] = {}
+    for e in sorted(edges, key=lambda e: -e["place"]):
+        ends.setdefault((e["part"], e["side"]), []).append(e)
+    parts = sorted({p for p, _ in ends})
+    for run, side, store in ((parts, "last", before), (parts[::-1], "first", after)):
+        reached = _Nearest([])
         for p in run:
-            store[p] = dict(reached)
-            reached.update({e["s"]: e[key] for e in edges if e["part"] == p})
+            store[p] = list(reached.top)
+            for e in ends.get((p, side), []):
+                reached.step(e["w"], e["s"])
     kind = next(f.dataType.simpleString() for f in ordered.schema.fields if f.name == "id")
     schema = f"id {kind}, o int, n int"
     up = ordered.mapInPandas(_spans(before, min_span), schema)
