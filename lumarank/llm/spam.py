@@ -127,10 +127,10 @@ def _unlinked(text: str, instead: str = " ") -> str:
     return _LINK.sub(instead, text) if _MAYBE_LINK.search(text) else text
 
 
-def _link_pieces(line: str) -> list[str]:
+def _link_pieces(line: str, links: list[re.Match]) -> list[str]:
     """A line with links, cut behind sentence ends that aren't part of a link."""
     inside = bytearray(len(line) + 1)
-    for m in _links(line):
+    for m in links:
         inside[m.start() : m.end()] = b"\x01" * (m.end() - m.start())
     pieces, start = [], 0
     for m in re.finditer(r"[.!?](?=\s)|[。！？]", line):
@@ -143,9 +143,9 @@ def _link_pieces(line: str) -> list[str]:
 _SENTENCE = re.compile(r"[^\n.!?。！？]+(?:\.(?=\S)[^\n.!?。！？]+)*[.!?。！？]*")
 
 
-def _stuffed(unit: str, in_text: Counter, heavy: set[str]) -> bool:
+def _stuffed(unit: str, linked: bool, in_text: Counter, heavy: set[str]) -> bool:
     """Whether a sentence or line is a bare list of phrases, of links or repeats a phrase for its own sake."""
-    links = len(_links(unit))
+    links = len(_links(unit)) if linked else 0
     words, units, func, run = _segment_parts((_LINK.sub(" ", unit) if links else unit).lower())
     bare = func < 0.12 * units and run <= PHRASE_RUN
     if links:
@@ -176,35 +176,35 @@ def page_features(text: str | None) -> list[float]:
         return [0.0] * len(FEATURES)
     size = len(text)
     link_chars = links = line_chars = tag_chars = record_chars = 0
+    plain = _unlinked(text, " | ").lower()
+    all_words = _WORD.findall(plain)
+    in_text, heavy = Counter(_phrases([w for w in all_words if w != "de"])), _heavy_tokens(all_words)
+    stuffed = seen = 0
     for line in text.split("\n"):
         if not line.strip():
             continue
         found = _links(line)
-        chars = sum(m.end() - m.start() for m in found)
-        links += len(found)
-        link_chars += chars
+        tag = bool(_TAG_LINE.match(line))
+        record = not tag and not found and bool(_RECORD.match(line))
         if found:
-            rest = _segment_parts(_LINK.sub(" ", line).lower())
-            if rest[1] <= 5 * len(found):
+            links += len(found)
+            link_chars += sum(m.end() - m.start() for m in found)
+            if _segment_parts(_LINK.sub(" ", line).lower())[1] <= 5 * len(found):
                 line_chars += len(line)
-        if _TAG_LINE.match(line):
+        if tag:
             tag_chars += len(line)
-        elif not found and _RECORD.match(line):
+        elif record:
             record_chars += len(line)
-    plain = _unlinked(text, " | ").lower()
-    all_words = _WORD.findall(plain)
-    in_text, heavy = Counter(_phrases([w for w in all_words if w != "de"])), _heavy_tokens(all_words)
-    stuffed = seen = 0
-    for line in text.split("\n"):
-        if _links(line) or _TAG_LINE.match(line):
-            pieces = _link_pieces(line)
+            seen += len(line)
+            continue
+        if found or tag:
+            pieces = _link_pieces(line, found)
         else:
-            pieces = [] if _RECORD.match(line) else [p for x in _SENTENCE.findall(line) for p in x.split("|") if p.strip()]
-            seen += len(line) if not pieces else 0
+            pieces = [p for x in _SENTENCE.findall(line) for p in x.split("|") if p.strip()]
         for piece in pieces:
             chars = len(piece.strip())
             seen += chars
-            stuffed += chars * _stuffed(piece, in_text, heavy)
+            stuffed += chars * _stuffed(piece, bool(found), in_text, heavy)
     units = func = bare = bare_rest = 0
     words: list[str] = []
     short: Counter[str] = Counter()
