@@ -178,10 +178,10 @@ def overlapping_labels(labels: DataFrame) -> DataFrame:
     The suffix array leaves the few records that the other split covers, be it in pieces; the
     exact check keeps those whose whole text both splits hold.
     """
-    records = label_records(labels)
+    records = cut(label_records(labels))  # read by several branches
     found = cross_split_coverage(records, "label_id", "record", "split")
     whole = found.filter(F.col("covered") == F.col("length")).select("label_id")
-    rows = records.join(whole, "label_id", "left_semi")
+    rows = cut(records.join(whole, "label_id", "left_semi"))
     both = rows.groupBy("record").agg(F.min("split").alias("a"), F.max("split").alias("b")).filter("a <> b")
     return rows.join(both, "record", "left_semi")
 
