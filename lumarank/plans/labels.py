@@ -81,12 +81,12 @@ SELECT file_path, profile, {r("CASE WHEN scale IS NULL THEN total_score ELSE gre
 def calibrated_scores(spark: SparkSession, root: str) -> DataFrame:
     """Scores corrected by the profile of the scene's target, else by the default one."""
     fit = L.calibration_fit(valid(spark, root), ["target"]).filter(F.col("status") == "fitted").select("target", "scale", "offset")
-    default = fit.filter(F.col("target") == "overall").select(F.col("scale").alias("d_scale"), F.col("offset").alias("d_offset"))
+    # one row at most: fits are one per target
+    default = fit.filter(F.col("target") == "overall").select(F.col("target").alias("fallback"), F.col("scale").alias("d_scale"), F.col("offset").alias("d_offset")).limit(1)
     scene = F.col("scene_key")
     target = F.when(scene == "people", "person").when(scene == "city", "building").when(scene == "landscape", "mountain").when(scene == "animals", "dog").otherwise("none")
     rows = current(spark, root).filter(F.col("total_score") >= 1).withColumn("target", target).join(fit, "target", "left")
-    # the default profile is at most one row
-    rows = rows.join(F.broadcast(default.limit(1)), F.lit(True), "left")
+    rows = rows.withColumn("fallback", F.lit("overall")).join(F.broadcast(default), "fallback", "left")
     scale, offset = F.coalesce("scale", "d_scale"), F.coalesce("offset", "d_offset")
     profile = F.when(F.col("scale").isNotNull(), "scene").when(F.col("d_scale").isNotNull(), "default").otherwise("no_profile")
     value = F.when(scale.isNull(), F.col("total_score")).otherwise(calibrated(F.col("total_score"), scale, offset, blend=0.8))

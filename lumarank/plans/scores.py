@@ -348,7 +348,8 @@ def score_diversity(spark: SparkSession, root: str) -> DataFrame:
     per_group = groups.agg(
         half_up(F.max("a") - F.min("b")).alias("score_range"), F.count_if(F.col("n") > 1).alias("groups_of_many"), reported(F.avg(F.when(F.col("n") > 1, F.col("a") - F.col("b")))).alias("mean_group_range")
     )
-    return per_group.crossJoin(vectors)  # one row each
+    both = per_group.unionByName(vectors, allowMissingColumns=True)  # one row each
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 @query("score_histogram", CUR + f"SELECT coalesce(decision, 'none') AS decision, scene_key, count(*) AS photos, {r('min(total_score)')} AS low, {r('avg(total_score)')} AS mean, {r('max(total_score)')} AS high FROM cur GROUP BY ALL")
