@@ -24,14 +24,14 @@ FEATURES = (
 
 _LINK = re.compile(
     r"(?:\[/?url[^\]]*\]|<a\s[^>]*>|</a>|(?:h(?:tt|xx)ps?\s?:\s?//|www\.)[^\s\]\)<>\"]+|\]\([^)\s]*\)"
-    r"|\b[\w-]{2,}(?:\s?(?:\.|\[\.\]|\(\.\)|\sdot\s)\s?[a-z][\w-]*){0,3}?\s?(?:\.|\[\.\]|\(\.\)|\sdot\s)\s?(?:example|invalid|test|com|net|org|info|shop|site|online|de|cn|es|jp|ru|biz|xyz|io)\b(?:[/?][^\s\])<>\"]*)?)",
+    r"|\b[\w-]{2,63}(?:\s?(?:\.|\[\.\]|\(\.\)|\sdot\s)\s?[a-z][\w-]{0,62}){0,3}?\s?(?:\.|\[\.\]|\(\.\)|\sdot\s)\s?(?:example|invalid|test|com|net|org|info|shop|site|online|de|cn|es|jp|ru|biz|xyz|io)\b(?:[/?][^\s\])<>\"]*)?)",
     re.I,
 )
 #: What every link holds; lines without it are spared the search above.
 _MAYBE_LINK = re.compile(
     r"://|:\s//|www\.|\[/?url|</?a\b|\]\(|(?:\.|\[\.\]|\(\.\)|\bdot)\s?(?:example|invalid|test|com|net|org|info|shop|site|online|de|cn|es|jp|ru|biz|xyz|io)\b", re.I
 )
-_TAG_LINE = re.compile(r"^\W*(?:[\w.#-]+\W+){0,3}?(?:tags?|labels?|keywords?|products?|categor(?:y|ies)|brand|related|etiquetas|schlagw\w+|stichw\w+|标签|关键词|タグ|キーワード)\s*[:：]", re.I)
+_TAG_LINE = re.compile(r"^\W{0,8}(?:[\w.#-]{1,24}\W{1,4}){0,3}?(?:tags?|labels?|keywords?|products?|categor(?:y|ies)|brand|related|etiquetas|schlagw\w+|stichw\w+|标签|关键词|タグ|キーワード)\s*[:：]", re.I)
 _RECORD = re.compile(
     r"^\s*(?:[\[{}\]]|\"[^\"]*\"\s*:|\[[ xX✓]?\]|[-*•]\s*\[[ xX]?\]|[A-Z][\w /-]{1,24}\s*[:=]\s*\S|\d{4}-\d\d-\d\d[T ]|\d\d:\d\d:\d\d|##?\s|-\s+(?:Added|Changed|Fixed|Removed|Reduced|Corrected)\b|(?:INFO|WARN|WARNING|ERROR|DEBUG)\b|[\w.]+\s*=\s)"
 )

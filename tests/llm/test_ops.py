@@ -351,3 +351,23 @@ def test_trees():
     forest = spam.fit_trees(x[:400], y[:400])
     assert ((spam.predict_trees(forest, x[400:]) > 0.5) == y[400:]).mean() > 0.85
     assert json.dumps(forest[0][0][:2])
+
+
+def test_very_long_texts(spark, encoder):
+    import time
+
+    texts = ["a-" * 200_000 + " x.test", "." * 300_000, " " * 300_000 + "x", "word " * 100_000, "http://" + "a" * 300_000, "无" * 200_000, "\n" * 200_000, "1) x - y.test\n" * 5_000]
+    for t in texts:
+        began = time.time()
+        assert len(spam.page_features(t)) == len(spam.FEATURES)
+        assert b"".join(k for i in encoder.encode(t) for k in [by_id(encoder)[i]]) == t.encode()
+        assert time.time() - began < 20, t[:20]
+    df = spark.createDataFrame([(1, "x" * 20_000, "train"), (2, "y" + "x" * 10_000, "holdout")], "key int, body string, part string")
+    got = {r.key: (r.length, r.covered) for r in splits.cross_split_coverage(df, "key", "body", "part", 8).collect()}
+    assert got == {1: (20_001, 20_001), 2: (10_002, 10_001)}
+
+
+def by_id(encoder, _known={}):
+    if not _known:
+        _known.update({v: k for k, v in encoder.ranks.items()})
+    return _known
