@@ -160,7 +160,7 @@ _FRAME = "^(?:.*/)?(?:s[a-z0-9]{5}[_\\- ])?[^/]*?([a-z][a-z0-9]{0,4}?)[_\\-]?([0
 def label_records(labels: DataFrame) -> DataFrame:
     """``(label_id, split, source, record)``: the canonical text of each label that can overlap.
 
-    ``record`` is ``shoot/frame#target``. Labels without shoot code, frame or target, or of no
+    ``record`` is ``shoot/frame#target``; the frame's number is without leading zeros. Labels without shoot code, frame or target, or of no
     split, take no part.
     """
     path = F.lower(F.translate(strip_blanks(F.col("path")), "\\", "/"))
@@ -168,7 +168,8 @@ def label_records(labels: DataFrame) -> DataFrame:
         "label_id", F.lower(strip_blanks(F.col("split"))).alias("split"), "source", path.alias("path"), F.lower(strip_blanks(F.col("target"))).alias("target")
     ).filter(F.col("split").isin("train", "holdout") & F.col("label_id").isNotNull() & (F.col("target") != ""))
     part = lambda pattern, n: [F.regexp_extract("path", pattern, g) for g in range(1, n + 1)]
-    record = F.concat(*part(_SHOOT, 3), F.lit("/"), *part(_FRAME, 2), F.lit("#"), "target")
+    prefix, number = part(_FRAME, 2)
+    record = F.concat(*part(_SHOOT, 3), F.lit("/"), prefix, F.regexp_replace(number, "^0+(?=[0-9])", ""), F.lit("#"), "target")
     return rows.select("label_id", "split", "source", record.alias("record")).distinct().filter(F.col("record").rlike("^[^/#]+/[^/#]+#"))
 
 

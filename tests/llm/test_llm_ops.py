@@ -173,6 +173,22 @@ def test_label_overlaps(spark):
     assert {tuple(r) for r in splits.overlap_report(df).collect()} == {("train", "a", 1), ("holdout", "b", 2), ("train", "c", 1), ("holdout", "c", 1)}
 
 
+def test_label_overlaps_however_frames_are_padded(spark):
+    rows = [
+        (1, "/library/raw/2020/2020-01-01_x_sab12c/DSC04668.ARW", "dog", "train", "a"),
+        (2, "/library/exports/sab12c_DSC0004668.jpg", "dog", "holdout", "b"),
+        (3, "/library/raw/2020/2020-01-01_x_sab12c/DSC46680.ARW", "dog", "holdout", "b"),
+        (4, "/library/raw/2020/2020-01-01_x_sr0krw/IMG_06597.CR3", "dog", "holdout", "b"),
+        (5, "/library/exports/sr0krw_IMG_6597.jpg", "dog", "train", "a"),
+        (6, "/library/raw/2020/2020-01-01_x_sab12c/IMG_6597.CR3", "dog", "holdout", "b"),
+        (7, "/library/raw/2020/2020-01-01_x_sab12c/P0000000.RW2", "dog", "train", "a"),
+        (8, "/library/raw/2020/2020-01-01_x_sab12c/P0000.RW2", "dog", "holdout", "b"),
+    ]
+    df = spark.createDataFrame(rows, "label_id bigint, path string, target string, split string, source string")
+    assert {tuple(r) for r in splits.overlap_pairs(df).collect()} == {(1, 2), (4, 5), (7, 8)}
+    assert {tuple(r) for r in splits.overlap_report(df).collect()} == {("train", "a", 3), ("holdout", "b", 3)}
+
+
 # --- top N ----------------------------------------------------------------------------------
 
 
