@@ -47,6 +47,17 @@ def hash_value(hex16: Column) -> Column:
     return F.conv(hex16, 16, -10).cast("bigint")
 
 
+def readable_hash(text: Column) -> Column:
+    """The 64-bit value of a hash text, null unless it has exactly 16 hexadecimal digits.
+
+    Letter case, a leading ``0x``, ``x`` or ``#``, blanks and separators don't count.
+    """
+    bare = F.regexp_replace(F.lower(text), "[\\s\\u00a0\\u3000]+", "")
+    bare = F.regexp_replace(bare, "^(0x|\\\\x|x|#)", "")
+    bare = F.regexp_replace(bare, "[:\\-_.,;/|]", "")
+    return F.when(bare.rlike("^[0-9a-f]{16}$"), hash_value(bare))
+
+
 def hamming(a: Column, b: Column) -> Column:
     """Differing bits of two 64-bit hashes."""
     return F.bit_count(a.bitwiseXOR(b))

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumarank.functions.identity import readable_hash
 from lumarank.runtime import latest
 
 ROWS, BANDS, LOW_BITS = 12, 56, 4
@@ -79,17 +80,6 @@ def _signature(hashes: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"keys": list(keys), "word": word})
 
 
-def readable_hash(text: Column) -> Column:
-    """The 64-bit value of a hash text, null unless it has exactly 16 hexadecimal digits.
-
-    Letter case, a leading ``0x``, ``x`` or ``#``, blanks and separators don't count.
-    """
-    bare = F.regexp_replace(F.lower(text), "[\\s\\u00a0\\u3000]+", "")
-    bare = F.regexp_replace(bare, "^(0x|\\\\x|x|#)", "")
-    bare = F.regexp_replace(bare, "[:\\-_.,;/|]", "")
-    return F.when(bare.rlike("^[0-9a-f]{16}$"), F.conv(bare, 16, -10).cast("bigint"))
-
-
 def current_hashes(cache: DataFrame) -> DataFrame:
     """``(file_path, hash)`` of the current row of every file, if its hash is readable.
 

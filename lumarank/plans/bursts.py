@@ -138,11 +138,11 @@ SELECT file_path, bit_count(xor(v, before))::INT AS bits FROM p WHERE before IS
 )
 def boundary_hamming(spark: SparkSession, root: str) -> DataFrame:
     """Differing bits of each file's hash and that of the file before it in its folder."""
-    from lumarank.functions.identity import hash_value
+    from lumarank.functions.identity import readable_hash
     from lumarank.runtime import latest
 
     rows = latest(table(spark, root, "visual_hash_cache").filter(F.col("file_path").isNotNull()), ["file_path"], [F.col("mtime_ns")], ["phash"])
-    rows = rows.filter(F.col("phash").rlike("^[0-9a-f]{16}$")).withColumn("folder", F.regexp_replace("file_path", "/[^/]*$", "")).withColumn("v", hash_value(F.col("phash")))
+    rows = rows.withColumn("v", readable_hash(F.col("phash"))).filter(F.col("v").isNotNull()).withColumn("folder", F.regexp_replace("file_path", "/[^/]*$", ""))
     before = F.lag("v").over(Window.partitionBy("folder").orderBy("file_path"))
     return rows.withColumn("before", before).filter(F.col("before").isNotNull()).select("file_path", hamming(F.col("v"), F.col("before")).alias("bits"))
 

@@ -54,3 +54,9 @@ def test_entry(spark):
 def test_scans_are_pruned(spark, sf):
     plan = QUERIES["scene_distribution"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "score_metadata" not in plan and "commentary" not in plan
+
+
+def test_boundary_hamming_reads_hashes_however_written(spark, tmp_path):
+    rows = [("/a/1", "0000000000000000"), ("/a/2", "0X0000000000000001"), ("/a/3", " 00:00:00:00-00_00 0003"), ("/a/4", "000000000000000F"), ("/a/5", "unreadable"), ("/a/6", "ffffffffffffffff"), ("/b/1", "#0000000000000001"), ("/b/2", None)]
+    spark.createDataFrame([(p, h, 1) for p, h in rows], "file_path string, phash string, mtime_ns bigint").write.parquet(str(tmp_path / "visual_hash_cache.parquet"))
+    assert {tuple(r) for r in QUERIES["boundary_hamming"](spark, str(tmp_path)).collect()} == {("/a/2", 1), ("/a/3", 1), ("/a/4", 2), ("/a/6", 60)}
