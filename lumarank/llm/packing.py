@@ -70,10 +70,10 @@ def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int, tries_
         own = sorted(bins[a], key=lambda x: -sizes[x])
         for x in own:  # move
             room = free[bins_under]
-            fits = (room >= sizes[x]) & (bins_under != a)
+            fits = (room >= sizes[x]) & (room < capacity) & (bins_under != a)  # an emptied bin stays empty
             if fits.any():
                 to = int(bins_under[np.where(fits, room, capacity + 1).argmin()])
-                if fill[to] + sizes[x] > fill[a] or fill[a] == sizes[x]:
+                if fill[to] + sizes[x] > fill[a]:
                     put(x, to)
                     return True
         groups = [(x,) for x in own] + [(x, y) for i, x in enumerate(own[:12]) for y in own[i + 1 : 12]]

@@ -296,6 +296,16 @@ def test_local_search_beats_the_start():
     assert sorted(x for b in bins for x in b) == list(range(400)) and len(bins) <= -(-sizes.sum() // 100) + 2
 
 
+def test_local_search_leaves_emptied_bins_empty():
+    sizes = np.array([1, 7, 4, 4, 3])  # the 7 fits beside no other until the 3 has left the 4
+    assert len(packing.local_search([[4, 3], [2], [1], [0]], sizes, 10)) == 2
+    sizes = np.random.default_rng(0).integers(500, 1000, 600)
+    start = packing.best_fit(sizes, 2048)
+    bins = packing.local_search(start, sizes, 2048)
+    assert sorted(x for b in bins for x in b) == list(range(600)) and all(sizes[b].sum() <= 2048 for b in bins)
+    assert len(bins) <= len(start) - 5
+
+
 def test_containers(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice([0, 0, 1, 7, 50, 99, 100, 101, 250, 1000])) for i in range(700)] + [(1000, 30), (1000, 30), (None, 5), (2000, None), (2001, -1)]
