@@ -351,12 +351,12 @@ def spam_scores(documents: DataFrame, id_column: str = "doc_id", text_column: st
     ``sample_rows`` weakly labelled rows, drawn by the hash of their features, half of them
     spam where there is enough; they are applied to every row. ``score`` mixes a page's score
     with the rate of its host (shrunk towards the overall rate); a page without a host keeps
-    its own. Null, empty and blank texts and remarks without links score 0. Repeated rows get
-    repeated results; without labels of both kinds the weak label itself is the score.
+    its own. Exact copies of a text all get the greatest score of any. Null, empty and blank
+    texts and remarks without links score 0. Repeated rows get repeated results; without labels of both kinds the weak label itself is the score.
     """
     host = F.lower(F.trim(F.col(f"`{host_column}`").cast("string"))) if host_column else F.lit(None).cast("string")
     rows = documents.select(F.col(f"`{id_column}`").alias("id"), F.nullif(host, F.lit("")).alias("host"), F.col(f"`{text_column}`").cast("string").alias("text"))
-    rows = spread(rows).select("id", "host", _features("text").alias("x"))
+    rows = spread(rows).select("id", "host", F.unhex(F.sha2("text", 256)).alias("digest"), _features("text").alias("x"))
     rows = cut(rows.withColumn("weak", _weak("x")))
     drawn = []
     for label in (0, 1):
@@ -376,14 +376,19 @@ def spam_scores(documents: DataFrame, id_column: str = "doc_id", text_column: st
         remark = (np.expm1(x[:, _AT["log_words"]]) < REMARK_WORDS) & (x[:, _AT["links_per_word"]] == 0)
         return pd.Series(np.where(remark, 0.0, p))
 
-    scored = cut(rows.select("id", "host", predict("x").alias("p")))
+    scored = cut(rows.select("id", "host", "digest", predict("x").alias("p")))
     overall = scored.agg(F.avg("p")).first()[0] or 0.0
     rates = scored.filter("host is not null").groupBy("host").agg(((F.sum("p") + HOST_PRIOR * overall) / (F.count("*") + HOST_PRIOR)).alias("rate"))
     # one host may hold a third of all pages: its rows are spread over SALTS keys
     salted = rates.select("host", "rate", F.explode(F.expr(f"sequence(0, {SALTS - 1})")).alias("salt"))
     joined = scored.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
     mixed = F.when(F.col("rate").isNull() | (F.col("p") == 0), F.col("p")).otherwise((1 - HOST_WEIGHT) * F.col("p") + HOST_WEIGHT * F.col("rate"))
-    return joined.select(F.col("id").alias(id_column), F.col("p").alias("page_score"), F.col("rate").alias("host_rate"), mixed.alias("score"))
+    mixed = joined.select("id", "digest", "salt", "p", "rate", mixed.alias("mixed"))
+    # only texts whose copies differ in score are joined back, to rows spread in the same way
+    copies = mixed.filter("p > 0").groupBy("digest").agg(F.max("mixed").alias("best"), F.min("mixed").alias("least")).filter("best > least")
+    copies = copies.select("digest", "best", F.explode(F.expr(f"sequence(0, {SALTS - 1})")).alias("salt"))
+    out = mixed.join(copies, ["digest", "salt"], "left")
+    return out.select(F.col("id").alias(id_column), F.col("p").alias("page_score"), F.col("rate").alias("host_rate"), F.coalesce("best", "mixed").alias("score"))
 
 
 def spam_documents(documents: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -370,6 +370,18 @@ def test_spam_held_out_accuracy(spark):
     assert spam.spam_documents(only_good).count() == 0
 
 
+def test_spam_copies_share_a_score(spark):
+    rows = [(i, f"{GOOD[i % 5]}\n{GOOD[(i + 1) % 5]}", "good.example") for i in range(40)] + [(100 + i, f"{BAD[i % 6]}\n{BAD[(i + 1) % 6]}", "bad.example") for i in range(40)]
+    rows += [(900, BAD[0], "good.example"), (901, BAD[0], "bad.example"), (902, BAD[0], None), (903, BAD[0], "Bad.example"), (904, None, "bad.example"), (905, "", "bad.example"), (906, "", "good.example")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("digest", F.lit("clash"))
+    got = {r.doc_id: r for r in spam.spam_scores(df).collect()}
+    mixed = [r.page_score if r.host_rate is None else 0.9 * r.page_score + 0.1 * r.host_rate for r in (got[i] for i in (900, 901, 902, 903))]
+    assert len(got) == len(rows) and max(mixed) - min(mixed) > 0.01 and got[904].score == got[905].score == got[906].score == 0.0
+    assert [got[i].score for i in (900, 901, 902, 903)] == pytest.approx([max(mixed)] * 4)
+    found = {r.doc_id for r in spam.spam_documents(df, (max(mixed) + min(mixed)) / 2).collect()}
+    assert {900, 901, 902, 903} <= found and not found & {*range(40), 904, 905, 906}
+
+
 def test_trees():
     rng = np.random.default_rng(0)
     x = rng.random((600, 4))
