@@ -96,13 +96,12 @@ def _spans(outside: dict[int, list[tuple[str, str]]], min_span: int):
 
 
 def cross_split_coverage(df: DataFrame, id_column: str, text_column: str, split_column: str, min_span: int = 8) -> DataFrame:
-    """``(id_column, length, covered, longest)`` of every record with a span shared across splits.
+    """``(id_column, length, covered)`` of every record with a span shared across splits.
 
     ``length`` and ``covered`` count characters of the text with its terminator: covered ==
-    length means that all of the record occurs in records of other splits. ``longest`` is the
-    longest shared span within the window. Records with a null id, text or split take no part;
-    an empty text is the terminator alone and shares nothing; repeated rows of an id add up to
-    one. Two splits or more; ids are unique per split.
+    length means that all of the record occurs in records of other splits. Records with a null
+    id, text or split take no part; an empty text is the terminator alone and shares nothing;
+    repeated rows of an id add up to one. Two splits or more; ids are unique per split.
     """
     if not 1 <= min_span <= WINDOW:
         raise ValueError(f"min_span must be 1 to {WINDOW}")
@@ -134,7 +133,7 @@ def cross_split_coverage(df: DataFrame, id_column: str, text_column: str, split_
     spans = up.unionByName(down)
     # Coverage: a position counts once, so a span adds what lies beyond the furthest end so far.
     steps = F.array_sort(F.collect_list(F.struct("o", "n")))
-    merged = spans.groupBy("id").agg(steps.alias("spans"), F.max("n").alias("longest"))
+    merged = spans.groupBy("id").agg(steps.alias("spans"))
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("end"), F.lit(0).alias("sum")),
@@ -145,8 +144,8 @@ def cross_split_coverage(df: DataFrame, id_column: str, text_column: str, split_
         lambda a: a["sum"],
     )
     lengths = records.groupBy("id").agg(F.max(F.length("t")).alias("length"))
-    out = merged.select("id", covered.alias("covered"), "longest").join(lengths, "id")
-    return out.select(F.col("id").alias(id_column), "length", "covered", "longest")
+    out = merged.select("id", covered.alias("covered")).join(lengths, "id")
+    return out.select(F.col("id").alias(id_column), "length", "covered")
 
 
 #: A shoot code that closes a folder's name after an underline, else one that opens the file's

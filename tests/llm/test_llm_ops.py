@@ -155,6 +155,13 @@ def test_coverage_edges(spark):
         splits.cross_split_coverage(spark.createDataFrame(rows, schema), "key", "body", "part", 100)
 
 
+def test_coverage_has_no_length_cut_at_the_window(spark):
+    text = "".join(chr(97 + i * i % 23) for i in range(300))
+    df = spark.createDataFrame([(1, text, "train"), (2, text, "holdout")], "key int, body string, part string")
+    out = splits.cross_split_coverage(df, "key", "body", "part")
+    assert out.columns == ["key", "length", "covered"] and {tuple(r) for r in out.collect()} == {(1, 301, 301), (2, 301, 301)}
+
+
 def test_label_overlaps(spark):
     rows = [
         (1, "/library/raw/2020/2020-01-01_x_sab12c/DSC01234.ARW", "dog", "train", "a"),
