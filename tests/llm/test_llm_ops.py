@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumarank.llm import bpe, packing, phash, quantiles, spam, splits, topn, vectors
+from lumarank.llm import bpe, expand, packing, phash, quantiles, spam, splits, topn, vectors
 from lumarank.runtime import table
 
 
@@ -95,6 +95,41 @@ def test_near_hashes_against_brute_force(spark):
     got = {(r.hash_a, r.hash_b) for r in phash.near_hashes(df).collect()}
     assert got == truth
     assert phash.near_hashes(df.limit(0)).count() == 0
+    # long runs of a band key, cut into blocks, give the same pairs
+    assert {(r.hash_a, r.hash_b) for r in phash.near_hashes(df, block=3).collect()} == truth
+    near = {(a, b) for a, b in truth if bin((a ^ b) & (2**64 - 1)).count("1") <= 2}
+    assert {(r.hash_a, r.hash_b) for r in phash.near_hashes(df, 2).collect()} == near
+    for wrong in (6, -1):
+        with pytest.raises(ValueError):
+            phash.near_hashes(df, wrong)
+
+
+def test_near_hashes_of_a_crowded_ball(spark):
+    """A third of the values in one ball: its band keys hold more rows than a block."""
+    rng = np.random.default_rng(8)
+    base = int(rng.integers(0, 2**62))
+    ball = {base ^ (1 << int(i)) ^ (1 << int(j)) for i in range(20) for j in range(i)}
+    values = sorted(ball | set(rng.integers(0, 2**63, 400, dtype=np.int64).tolist()))
+    truth = {(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if bin(a ^ b).count("1") <= 5}
+    df = spark.createDataFrame([(v,) for v in values], "hash bigint").repartition(5)
+    assert {(r.hash_a, r.hash_b) for r in phash.near_hashes(df, block=16).collect()} == truth
+
+
+def test_pairs_of_large_classes(spark):
+    members = spark.createDataFrame([("x" if i % 3 else "y", f"f{i:02d}") for i in range(40)] + [("z", "only")], "k string, f string")
+    blocks = expand.Blocks(members, "k", size=4)
+    pairs = spark.createDataFrame([("x", "x"), ("x", "y"), ("z", "x"), ("z", "none")], "a string, b string")
+    by = {}
+    for r in members.collect():
+        by.setdefault(r.k, []).append(r.f)
+    truth = sorted((a, b, p, q) for a, b in (("x", "x"), ("x", "y"), ("z", "x")) for p in by[a] for q in by[b])
+    assert blocks.large is not None and sorted(map(tuple, expand.expand_pairs(pairs, blocks, blocks, "f").collect())) == truth
+
+
+def test_no_join_of_near_files_is_left_to_estimates(spark):
+    cache = spark.createDataFrame([("a", "0000000000000000", 1), ("b", "0000000000000001", 2)], "file_path string, phash string, mtime_ns bigint")
+    for df in (phash.near_files(cache), phash.file_classes(cache)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_hash_texts_and_current_rows(spark):
