@@ -59,10 +59,10 @@ WITH norm AS (SELECT label_id, source, lower(regexp_replace(split, '^[\s\x{00a0}
   lower(replace(regexp_replace(path, '^[\s\x{00a0}\x{3000}]+|[\s\x{00a0}\x{3000}]+$', '', 'g'), '\', '/')) AS p FROM aesthetic_labels),
 rec AS (SELECT DISTINCT label_id, split, source, concat(regexp_extract(p, '^(?:.*_(s[a-z0-9]{5})/|.*/(s[a-z0-9]{5})[_\- ]|.*(s[a-z0-9]{5})/)', 1),
   regexp_extract(p, '^(?:.*_(s[a-z0-9]{5})/|.*/(s[a-z0-9]{5})[_\- ]|.*(s[a-z0-9]{5})/)', 2), regexp_extract(p, '^(?:.*_(s[a-z0-9]{5})/|.*/(s[a-z0-9]{5})[_\- ]|.*(s[a-z0-9]{5})/)', 3), '/',
-  regexp_extract(p, '^(?:.*/)?(?:s[a-z0-9]{5}[_\- ])?[^/]*?([a-z][a-z0-9]{0,4}?)[_\-]?([0-9]{4,})[^/]*$', 1),
-  regexp_extract(p, '^(?:.*/)?(?:s[a-z0-9]{5}[_\- ])?[^/]*?([a-z][a-z0-9]{0,4}?)[_\-]?([0-9]{4,})[^/]*$', 2), '#', target) AS record
+  regexp_extract(p, '^(?:.*/)?(?:s[a-z0-9]{5}[_\- ])?[^/]*?([a-z][a-z0-9]{0,4}?)[_\-]?([0-9]{4,})[^/]*$', 1), ':',
+  ltrim(regexp_extract(p, '^(?:.*/)?(?:s[a-z0-9]{5}[_\- ])?[^/]*?([a-z][a-z0-9]{0,4}?)[_\-]?([0-9]{4,})[^/]*$', 2), '0'), '#', target) AS record
   FROM norm WHERE split IN ('train', 'holdout') AND target <> '' AND label_id IS NOT NULL AND p IS NOT NULL),
-ok AS (SELECT * FROM rec WHERE regexp_matches(record, '^[^/#]+/[^/#]+#'))
+ok AS (SELECT * FROM rec WHERE regexp_matches(record, '^[^/#]+/[^/:#]+:[^/#]*#'))
 """
 
 

@@ -181,6 +181,28 @@ def test_coverage_against_brute_force(spark):
     assert got == coverage(records, 5)
 
 
+def test_runs_of_equal_records_cross_partitions(spark, monkeypatch):
+    """A third of all records are one text, and long records agree beyond the window."""
+    monkeypatch.setattr(splits, "PIECE", 40)
+    head = "long text that goes on for more than a window does, " * 3
+    records = [(i, "the same text", "train" if i % 5 else "holdout") for i in range(60)]
+    records += [(100, head + "x", "train"), (101, head + "x", "holdout"), (102, head + "y", "holdout"), (103, head, "train"), (104, "zz" + head + "x", "train")]
+    records += [(200 + i, f"own {i * i % 97:03d} text", "train") for i in range(60)] + [(300, "only train", "train"), (301, "only train", "train")]
+    df = spark.createDataFrame(records, "key int, body string, part string")
+    rows = {r.id: r for r in splits.shared_records(df, "key", "body", "part").collect()}
+    runs = {}
+    for key, text, _ in records:
+        if key in rows and rows[key].run is not None:
+            runs.setdefault(text, set()).add(rows[key].run)
+    assert set(runs) == {"the same text", head + "x"} and all(len(x) == 1 for x in runs.values()) and len(set.union(*runs.values())) == 2
+    assert {k: (r.length, r.covered) for k, r in rows.items()} == coverage(records, 8)
+    again = spark.createDataFrame([(i, t, s.replace("dev", "holdout")) for i, t, s in records if s != "none"], "label_id bigint, record string, split string")
+    monkeypatch.setattr(splits, "label_records", lambda x: x)
+    a, b = ([k for k, t, s in records if t == "the same text" and s == split] for split in ("train", "holdout"))
+    truth = {(min(x, y), max(x, y)) for x in a for y in b} | {(100, 101)}
+    assert {tuple(r) for r in splits.overlap_pairs(again).collect()} == truth
+
+
 def test_coverage_edges(spark):
     schema = "key int, body string, part string"
     rows = [(1, "abcdefgh", "train"), (2, "abcdefgh", None), (3, None, "holdout"), (4, "", "holdout"), (5, "", "train"), (None, "abcdefgh", "holdout")]
