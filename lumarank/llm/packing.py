@@ -53,7 +53,9 @@ def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int, tries_
     free = np.zeros(len(bins), dtype=np.int64)
     free[under] = capacity - np.array([fill[i] for i in under], dtype=np.int64)
     bins_under = np.array(under, dtype=np.int64)
-    stuck: set[int] = set()
+    held = np.array([fill[i] for i in under], dtype=np.int64)  # fills of the underfull bins
+    rank = {b: k for k, b in enumerate(under)}
+    stuck = np.zeros(len(under), dtype=bool)
 
     def put(item: int, to: int) -> None:
         at = spot[item]
@@ -64,6 +66,7 @@ def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int, tries_
         for b, change in ((old, -int(sizes[item])), (to, int(sizes[item]))):
             fill[b] += change
             free[b] = capacity - fill[b]
+            held[rank[b]] = fill[b]
 
     def one_step(a: int) -> bool:
         """One raising exchange that takes weight from bin ``a``; False if there is none."""
@@ -76,11 +79,14 @@ def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int, tries_
                 if fill[to] + sizes[x] > fill[a]:
                     put(x, to)
                     return True
-        groups = [(x,) for x in own] + [(x, y) for i, x in enumerate(own[:12]) for y in own[i + 1 : 12]]
+        # one group per weight: a bin holds at most sqrt(2 * capacity) different sizes, however many items
+        groups: dict[int, tuple[int, ...]] = {}
+        kept = [x for i, x in enumerate(own) if i < 2 or sizes[own[i - 2]] != sizes[x]]  # at most two of a size
+        for group in [(x,) for x in kept] + [(x, y) for i, x in enumerate(kept) for y in kept[i + 1 :]]:
+            groups.setdefault(int(sum(sizes[x] for x in group)), group)
         room = free[where]
         best, gain = None, 0
-        for group in groups:  # one for one, two for one
-            weight = int(sum(sizes[x] for x in group))
+        for weight, group in groups.items():  # one for one, two for one
             delta = weight - size_of
             good = (delta > 0) & (delta <= room) & (where != a)
             if not good.any():
@@ -101,17 +107,17 @@ def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int, tries_
 
     tries = tries_per_bin * max(1, len(under))
     while tries > 0:
-        open_bins = [int(b) for b in bins_under if 0 < fill[int(b)] < capacity]
-        movable = [b for b in open_bins if b not in stuck]
-        if not movable or len(open_bins) < 2:
+        is_open = (held > 0) & (held < capacity)
+        movable = is_open & ~stuck
+        if not movable.any() or is_open.sum() < 2:
             break
-        a = min(movable, key=lambda b: fill[b])
+        a = int(bins_under[np.where(movable, held, capacity + 1).argmin()])
         while tries > 0 and bins[a]:
             tries -= 1
             if not one_step(a):
-                stuck.add(a)
+                stuck[rank[a]] = True
                 break
-            stuck.clear()  # fills changed: what found no exchange before may find one now
+            stuck[:] = False  # fills changed: what found no exchange before may find one now
     return [b for b in bins if b]
 
 
@@ -149,7 +155,8 @@ def fill_containers(sizes: DataFrame, id_column: str, size_column: str, capacity
     items = cut(items)
     shards = max(1, -(-items.count() // shard_items))
     schema = f"id {kind}, part int, size bigint, bin bigint, fill bigint"
-    placed = items.withColumn("group", F.pmod(F.xxhash64("id", "part"), F.lit(shards))).groupBy("group").applyInPandas(_place(capacity, False), schema)
+    # rows are spread by their place in the written table too, as one id may be on many rows
+    placed = items.withColumn("group", F.pmod(F.xxhash64("id", "part", F.monotonically_increasing_id()), F.lit(shards))).groupBy("group").applyInPandas(_place(capacity, False), schema)
     placed = cut(placed)
     full, under = placed.filter(F.col("fill") >= capacity), placed.filter(F.col("fill") < capacity)
     groups = max(1, -(-under.count() // shard_items))

@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumarank.runtime import cut
+
 #: Rows a partition keeps before it hands its survivors on; a memory bound, not a result bound.
 FLUSH_ROWS = 200_000
+#: Groups up to which the table of bounds is broadcast; beyond, it is joined over the ranking's own partitioning.
+BROADCAST_ROWS = 100_000
 
 
 def _best(pdf: pd.DataFrame, n: int) -> pd.DataFrame:
@@ -44,10 +48,11 @@ def top_n_per_group(df: DataFrame, group: str, item: str, score: str, n: int = 5
 
     Order: score descending, then item ascending by code point; equal (score, item) rows are
     one item each and stay apart. Every partition reduces each group to its local top N before
-    any shuffle; the local N-th best scores are lower bounds, the greatest bound per group
-    filters the survivors of all partitions, and what is left is ranked. A group of any size
-    thus sends at most N rows per partition. The bound is joined as an aggregate over the
-    partitioning that the ranking needs anyway, so survivors move once.
+    any shuffle; the local N-th best scores are lower bounds, and the greatest of a group is
+    joined to the survivors and filters them. Only groups that fill N places in two partitions or
+    more have a bound that can filter; while they are few enough to broadcast, the survivors are
+    filtered before they are exchanged, so that a group that fills its places in P partitions sends
+    little more than N rows instead of N * P. What is left is ranked.
 
     Rows with a null group, a null item, or a null or NaN score take no part; an empty input
     gives an empty result. Other columns, whatever their names, are ignored.
@@ -58,13 +63,9 @@ def top_n_per_group(df: DataFrame, group: str, item: str, score: str, n: int = 5
     )
     rows = df.select(F.col(f"`{group}`").alias("g"), F.col(f"`{item}`").alias("i"), F.col(f"`{score}`").cast("double").alias("s"))
     rows = rows.filter(F.col("g").isNotNull() & F.col("i").isNotNull() & F.col("s").isNotNull() & ~F.isnan("s"))
-    survivors = rows.mapInPandas(_local_survivors(n), schema)
-    within = Window.partitionBy("g")
-    bound = F.max(F.when(F.col("r") == n, F.col("s"))).over(within)
-    ranked = (
-        survivors.withColumn("bound", bound)
-        .filter(F.col("bound").isNull() | (F.col("s") >= F.col("bound")))
-        .withColumn("rank", F.row_number().over(within.orderBy(F.desc("s"), F.asc("i"))))
-        .filter(F.col("rank") <= n)
-    )
+    survivors = cut(rows.mapInPandas(_local_survivors(n), schema))  # at most n rows of a group and partition
+    bounds = survivors.filter(F.col("r") == n).groupBy("g").agg(F.max("s").alias("bound"), F.count("*").alias("full")).filter("full > 1").select("g", "bound")
+    bounds = F.broadcast(bounds) if bounds.count() <= BROADCAST_ROWS else bounds.hint("merge")
+    left = survivors.join(bounds, "g", "left").filter(F.col("bound").isNull() | (F.col("s") >= F.col("bound")))
+    ranked = left.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("s"), F.asc("i")))).filter(F.col("rank") <= n)
     return ranked.select(F.col("g").alias(group), F.col("i").alias(item), F.col("s").alias(score), "rank")

@@ -270,6 +270,16 @@ def test_top_n(spark):
     assert topn.top_n_per_group(df.limit(0), "grp", "item", "score").count() == 0
 
 
+def test_top_n_bounds_filter_before_the_ranking(spark, monkeypatch):
+    df = spark.range(8000).select((F.col("id") % 2).alias("g"), F.col("id").alias("i"), (F.col("id") * 7919 % 8009).cast("double").alias("v")).repartition(8)
+    ranked = topn.top_n_per_group(df, "g", "i", "v", 5)
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("bound")  # the join stands below the window
+    few = sorted(map(tuple, ranked.collect()))
+    monkeypatch.setattr(topn, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, topn.top_n_per_group(df, "g", "i", "v", 5).collect())) == few and len(few) == 10
+
+
 def test_top_n_sends_only_survivors(spark, monkeypatch):
     monkeypatch.setattr(topn, "FLUSH_ROWS", 3)
     df = spark.range(1000).select(F.lit("g").alias("g"), F.col("id").alias("i"), (F.col("id") % 10).cast("double").alias("v"))
@@ -391,6 +401,29 @@ def test_containers(spark):
         packing.fill_containers(df, "doc", "n", 0)
 
 
+def test_search_of_a_shard_whose_bins_all_stay_underfull():
+    """Every item takes more than half a container: nothing can be joined, and the search ends soon."""
+    import time
+
+    sizes = np.random.default_rng(3).integers(1030, 2040, packing.SHARD_ITEMS)
+    began = time.perf_counter()
+    bins = packing.local_search(packing.best_fit(sizes, 2048), sizes, 2048)
+    assert len(bins) == len(sizes) and time.perf_counter() - began < 60
+
+
+def test_exchanges_look_beyond_the_largest_items():
+    # only two of the small items of bin 0 (8 + 7) make room for the 14 of bin 1 that fills it up
+    sizes = np.array([20] * 12 + [8, 7] + [85 * 3, 14])
+    bins = packing.local_search([list(range(14)), [14, 15]], sizes, 270)
+    assert sorted(int(sizes[b].sum()) for b in bins) == [254, 270]
+
+
+def test_repeated_ids_do_not_share_a_shard(spark):
+    df = spark.range(3000).select(F.lit(7).alias("doc"), F.lit(30).alias("n"))
+    out = packing.fill_containers(df, "doc", "n", 100, shard_items=150)
+    assert out.count() == 3000 and out.select((F.col("bin_id") / 2**33).cast("int").alias("g")).distinct().count() > 10
+
+
 # --- spam -----------------------------------------------------------------------------------
 
 GOOD = [
