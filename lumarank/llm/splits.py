@@ -252,18 +252,20 @@ def label_records(labels: DataFrame) -> DataFrame:
     rows = labels.select(
         "label_id", F.lower(strip_blanks(F.col("split"))).alias("split"), "source", path.alias("path"), F.lower(strip_blanks(F.col("target"))).alias("target")
     ).filter(F.col("split").isin("train", "holdout") & F.col("label_id").isNotNull() & (F.col("target") != ""))
-    # one search each: the whole path becomes what the groups hold; what doesn't match keeps its slashes
-    shoot = F.regexp_replace("path", _SHOOT + "[\\s\\S]*$", "$1$2$3")
-    frame = F.regexp_replace("path", _FRAME, "$1$2")
-    record = F.concat(shoot, F.lit("/"), frame, F.lit("#"), "target")
-    found = F.col("path").rlike(_SHOOT) & F.col("path").rlike(_FRAME)
-    return rows.filter(found).select("label_id", "split", "source", record.alias("record")).distinct()
+    # one search each: the whole path becomes what the groups hold, behind a mark that no other path has
+    shoot = F.regexp_replace("path", _SHOOT + "[\\s\\S]*$", END + "$1$2$3")
+    frame = F.regexp_replace("path", _FRAME, END + "$1$2")
+    # written out before it is filtered, else the searches would run again for every filter on them
+    rows = cut(rows.select("label_id", "split", "source", shoot.alias("shoot"), frame.alias("frame"), "target"))
+    found = rows.filter(F.col("shoot").startswith(END) & F.col("frame").startswith(END))
+    record = F.concat(F.substring("shoot", 2, 6), F.lit("/"), F.expr("substring(frame, 2)"), F.lit("#"), "target")
+    return found.select("label_id", "split", "source", record.alias("record")).distinct()
 
 
 def overlapping_labels(labels: DataFrame) -> DataFrame:
     """``(label_id, split, run)``: labels whose whole record the other split holds, by the run of
     the suffix array in which they stand together."""
-    found = shared_records(label_records(labels).select("label_id", "record", "split"), "label_id", "record", "split")
+    found = shared_records(label_records(labels).select("label_id", "split", "record"), "label_id", "record", "split")
     whole = found.filter(F.col("run").isNotNull() & (F.col("covered") == F.col("length")))
     return cut(whole.select(F.col("id").alias("label_id"), F.col("s").alias("split"), "run"))
 
@@ -283,5 +285,5 @@ def overlap_pairs(labels: DataFrame) -> DataFrame:
 def overlap_report(labels: DataFrame) -> DataFrame:
     """``(split, source, labels)``: labels per split and source that also occur in the other split."""
     rows = overlapping_labels(labels).select("label_id", "split")
-    named = label_records(labels).select("label_id", "split", "source").distinct()
+    named = labels.select("label_id", F.lower(strip_blanks(F.col("split"))).alias("split"), "source").distinct()
     return named.join(rows.hint("merge"), ["label_id", "split"], "left_semi").groupBy("split", "source").agg(F.count("*").alias("labels"))
