@@ -1,11 +1,19 @@
 """Keyword-stuffed and link-list pages: bagged decision trees on content and link features,
-trained on weak labels, with page predictions smoothed by the spam rate of their host."""
+trained on weak labels, with page predictions smoothed by the spam rate of their host.
+
+Features describe a whole page: shares of its characters in links, in pieces (sentences or lines)
+of several kinds, and counts over its words. Weak labels come from signals that look at different
+things (links, repetition, tags, prose, records, length), each of which abstains unless it is sure;
+a page that no signal or signals of both kinds speak for stays unlabelled. The trees are fitted on
+labelled pages only and judge every page. A host's rate of spam moves the log-odds of its pages.
+"""
 
 from __future__ import annotations
 
 import html
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -13,33 +21,29 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lumarank.runtime import cut, spread
 
 FEATURES = (
-    "link_share", "link_line_share", "links_per_word", "bare_share", "bare_rest_share", "function_share", "repeat_share", "top_share", "distinct_share",
-    "tag_line_share", "separators", "sentence_marks", "digit_share", "record_share", "segment_repeat", "log_words", "cjk_share", "pair_repeat", "stuffed_share", "heavy_share",
+    "link_share", "links_per_word", "link_pieces", "bare_pieces", "heavy_pieces", "phrase_pieces", "echo_pieces", "prose_pieces", "record_pieces", "tag_pieces", "repeated_pieces",
+    "function_share", "heavy_share", "top_share", "distinct_share", "pair_share", "separators", "sentence_marks", "digit_share", "cjk_share", "log_words", "piece_words", "packed",
 )
 
+#: Markup and addresses of links, also disguised ones; a name with a dot is a link unless it ends like a file.
 _LINK = re.compile(
-    r"(?:\[/?url[^\]]*\]|<a\s[^>]*>|</a>|(?:h(?:tt|xx)ps?\s?:\s?//|www\.)[^\s\]\)<>\"]+|\]\([^)\s]*\)"
-    r"|\b[\w-]{2,63}(?:\s?(?:\.|\[\.\]|\(\.\)|\sdot\s)\s?[a-z][\w-]{0,62}){0,3}?\s?(?:\.|\[\.\]|\(\.\)|\sdot\s)\s?(?:example|invalid|test|com|net|org|info|shop|site|online|de|cn|es|jp|ru|biz|xyz|io)\b(?:[/?][^\s\])<>\"]*)?)",
-    re.I,
-)
-#: What every link holds; lines without it are spared the search above.
-_MAYBE_LINK = re.compile(
-    r"://|:\s//|www\.|\[/?url|</?a\b|\]\(|(?:\.|\[\.\]|\(\.\)|\bdot)\s?(?:example|invalid|test|com|net|org|info|shop|site|online|de|cn|es|jp|ru|biz|xyz|io)\b", re.I
+    r"\[/?url[^\]\n]{0,300}\]|</?a\b[^>\n]{0,500}>|\]\([^)\s]{0,500}\)|\b(?:h(?:tt|xx)ps?\s?:\s?//|www\.)[^\s\]\)<>\"']+"
+    r"|(?<![\w@./])[a-z0-9][a-z0-9-]{1,62}(?:\.[a-z0-9-]{2,62}){0,3}\.(?!(?:jpe?g|png|tiff?|arw|cr[23]|nef|raf|dng|xmp|jsonl?|ya?ml|txt|md|log|py|db|csv|html?)\b)[a-z]{2,24}\b(?:[/?][^\s\]\)<>\"']*)?"
 )
-_TAG_LINE = re.compile(r"^\W{0,8}(?:[\w.#-]{1,24}\W{1,4}){0,3}?(?:tags?|labels?|keywords?|products?|categor(?:y|ies)|brand|related|etiquetas|schlagw\w+|stichw\w+|标签|关键词|タグ|キーワード)\s*[:：]", re.I)
+_DISGUISED_DOT = re.compile(r"(?<=\w)(?:\s?\[\.\]\s?|\s?\(\.\)\s?|\s+dot\s+)(?=\w)")
+_LINKED = "\x02"
+_TAGGED = re.compile(r"^\W{0,8}(?:[\w.#-]{1,24}\W{1,4}){0,3}?(?:tags?|labels?|keywords?|products?|categor(?:y|ies)|brand|related|etiquetas|schlagw\w+|stichw\w+|标签|关键词|タグ|キーワード)\s*[:：]|^[^\w#＃]*(?:[#＃]+\w+[^\w#＃]*)+$", re.I)
 _RECORD = re.compile(
-    r"^\s*(?:[\[{}\]]|\"[^\"]*\"\s*:|\[[ xX✓]?\]|[-*•]\s*\[[ xX]?\]|[A-Z][\w /-]{1,24}\s*[:=]\s*\S|\d{4}-\d\d-\d\d[T ]|\d\d:\d\d:\d\d|##?\s|-\s+(?:Added|Changed|Fixed|Removed|Reduced|Corrected)\b|(?:INFO|WARN|WARNING|ERROR|DEBUG)\b|[\w.]+\s*=\s)"
+    r"(?:[\[{}\]]|\"[^\"]*\"\s*:|[-*•]?\s*\[[ xX✓]?\]|[A-Z][\w /-]{1,24}\s*[:=]\s*\S|\d{4}-\d\d-\d\d[T ]|\d\d:\d\d:\d\d|#{1,3}\s|-\s+[A-Z][a-z]+\b|(?:TRACE|DEBUG|INFO|WARN|WARNING|ERROR|FATAL)\b|[\w.]+\s*=\s)"
 )
-_SEGMENT = re.compile(r"[\n,;|/·•、，；。！？!?:：…\t]+|\.(?=\s|$)|\s{2,}|\s[-–—]\s")
+_PIECE = re.compile(r"[^\n.!?。！？|]+(?:\.(?=\S)[^\n.!?。！？|]+)*[.!?。！？]*")
+_WORD = re.compile(r"[^\W\d_][^\W_]*(?:['’][^\W_]+)?")  # numbers are no words
 _CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
 _CLAUSE = re.compile(r"[\u3040-\u309f\u3400-\u9fff]+")  # loan words in katakana are long on their own
-_KANA = re.compile(r"[\u3040-\u30ff]")
-_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2028-\u202e\u2060-\u2064\ufeff\u0000-\u0008\u000b\u000c\u000e-\u001f\ufffd]")
 #: Terminal codes and marks of model vocabularies that ended up inside words.
 _MARKS = re.compile(r"\x1b\[[0-9;]*[A-Za-z]|</?s>|<(?:unk|pad|mask)>|<\|\w+\|>")
@@ -56,224 +60,172 @@ _FUNCTION = frozenset(
     porque aunque más muy se me te le lo su sus mi al en por hay fue sin sobre entre hasta""".split()
 )
 _FUNCTION_CJK = frozenset("的了在是我有和就不都也很把这那你他她它们着过到得被让给从对与及但而或如果因为所以没再最为にをはがのでとものへやかられたてすまいせんだ")
-
+_NO_FUNCTION_CJK = re.compile(f"[^{''.join(sorted(_FUNCTION_CJK))}]")
 
 #: Longest CJK run of a search phrase; longer ones are clauses.
 PHRASE_RUN = 6
-
-
-def _segment_parts(segment: str) -> tuple[list[str], int, int, int]:
-    """Words of a segment (CJK runs as words), its word units, function units and longest CJK run."""
-    words = _WORD.findall(segment)
-    units = func = run = 0
-    for w in words:
-        if w.isascii():
-            units += 1
-            func += w in _FUNCTION
-            continue
-        c = len(_CJK.findall(w))
-        if c:
+#: Most words of a piece that merely repeats a phrase of another.
+SHORT = 8
+
+
+def _clean(text: str) -> str:
+    if "&" in text:
+        text = html.unescape(text)
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)
+    text = _INVISIBLE.sub("", _MARKS.sub("", text))
+    return _DISGUISED_DOT.sub(".", text) if "dot" in text or "[.]" in text or "(.)" in text else text
+
+
+def _content(key: str) -> tuple[list[str], int, int, int]:
+    """Of a lower-case piece the content tokens (of CJK runs the adjacent pairs of content characters), word units, function units and longest CJK run."""
+    words = _WORD.findall(key)
+    tokens = [w for w in words if w not in _FUNCTION]
+    units, func, run = len(words), len(words) - len(tokens), 0
+    if not key.isascii() and _CJK.search(key):
+        words, tokens = tokens, []
+        for w in words:
+            if w.isascii() or not (c := len(_CJK.findall(w))):
+                tokens.append(w)
+                continue
             run = max(run, max(map(len, _CLAUSE.findall(w)), default=0))
-            units += max(1, c // 2)
-            func += sum(ch in _FUNCTION_CJK for ch in w)
-        else:
-            units += 1
-            func += w in _FUNCTION
-    return words, units, func, run
-
-
-def _phrases(words: list[str]) -> list[tuple[str, str]]:
-    """Adjacent content words."""
-    return [p for p in zip(words, words[1:]) if p[0] not in _FUNCTION and p[1] not in _FUNCTION and not p[0].isdigit() and not p[1].isdigit()]
-
-
-def _tokens(words: list[str]) -> list[str]:
-    """Content words and, of CJK runs, the adjacent pairs of content characters."""
-    found = []
-    for w in words:
-        if not w.isascii() and _CJK.search(w):
-            found += [g for g in (w[i : i + 2] for i in range(len(w) - 1)) if _FUNCTION_CJK.isdisjoint(g)]
-        elif w not in _FUNCTION and not w.isdigit():
-            found.append(w)
-    return found
-
-
-def _heavy_tokens(words: list[str]) -> set[str]:
-    """Tokens that a text repeats more than writing does: at least three times and 2 % of all."""
-    counts = Counter(_tokens(words))
-    least = max(3, 0.02 * sum(counts.values()))
-    return {t for t, c in counts.items() if c >= least}
-
-
-def _heavy_share(words: list[str], heavy: set[str]) -> float:
-    """Share of a unit's content that heavy tokens cover; a CJK character is half a word."""
-    of_heavy = content = 0.0
-    for w in words:
-        if not w.isascii() and _CJK.search(w):
-            content += sum(ch not in _FUNCTION_CJK for ch in w) / 2
-            inside = {k for i in range(len(w) - 1) if w[i : i + 2] in heavy for k in (i, i + 1)}
-            of_heavy += len(inside) / 2
-        elif w not in _FUNCTION and not w.isdigit():
-            content += 1
-            of_heavy += w in heavy
-    return of_heavy / content if content else 0.0
-
-
-def _links(text: str) -> list[re.Match]:
-    return list(_LINK.finditer(text)) if _MAYBE_LINK.search(text) else []
-
-
-def _unlinked(text: str, instead: str = " ") -> str:
-    return _LINK.sub(instead, text) if _MAYBE_LINK.search(text) else text
-
-
-def _link_pieces(line: str, links: list[re.Match]) -> list[str]:
-    """A line with links, cut behind sentence ends that aren't part of a link."""
-    inside = bytearray(len(line) + 1)
-    for m in links:
-        inside[m.start() : m.end()] = b"\x01" * (m.end() - m.start())
-    pieces, start = [], 0
-    for m in re.finditer(r"[.!?](?=\s)|[。！？]", line):
-        if not inside[m.start()] and (m.start() - start > 8 or m.group() in "。！？"):
-            pieces.append(line[start : m.end()])
-            start = m.end()
-    return [x for x in [*pieces, line[start:]] if x.strip()]
-
-
-_SENTENCE = re.compile(r"[^\n.!?。！？]+(?:\.(?=\S)[^\n.!?。！？]+)*[.!?。！？]*")
-
-
-def _stuffed(unit: str, linked: bool, in_text: Counter, heavy: set[str]) -> bool:
-    """Whether a sentence or line is a bare list of phrases, of links or repeats a phrase for its own sake."""
-    links = len(_links(unit)) if linked else 0
-    words, units, func, run = _segment_parts((_LINK.sub(" ", unit) if links else unit).lower())
-    bare = func < 0.12 * units and run <= PHRASE_RUN
-    if links:
-        return units <= 5 * links or bare
-    if not units:
-        return False
-    if bare:
-        return True
-    if any(c >= 3 and in_text[p] >= 3 for p, c in Counter(_phrases(words)).items()):
-        return True
-    phrases = Counter(_phrases([w for w in words if w != "de"]))
-    joined = func - words.count("de")
-    if 3 <= units <= 8 and joined <= 1:  # "<repeated phrase> in <town>"
-        if _heavy_share(words, heavy) >= 0.35 or (units >= 4 and any(in_text[p] >= 2 for p in phrases)):
-            return True
-    # prose repeats itself as well, but with the function words that hold sentences together
-    if joined >= (0.6 if _KANA.search(unit) else 0.3) * units:
-        return False
-    if _heavy_share(words, heavy) >= 0.5:
-        return True
-    return any(c >= 2 and in_text[p] >= 3 for p, c in phrases.items())
+            units += max(1, c // 2) - 1
+            func += len(w) - len(_NO_FUNCTION_CJK.findall(w))
+            tokens += [x + y for x, y in zip(w, w[1:]) if x not in _FUNCTION_CJK and y not in _FUNCTION_CJK]
+    return tokens, units, func, run
 
 
 def page_features(text: str | None) -> list[float]:
     """The FEATURES of a whole text; all zero for null, empty and blank texts."""
-    text = _INVISIBLE.sub("", _MARKS.sub("", unicodedata.normalize("NFKC", html.unescape(text or ""))))
+    text = _clean(text or "")
     if not text.strip():
         return [0.0] * len(FEATURES)
     size = len(text)
-    link_chars = links = line_chars = tag_chars = record_chars = 0
-    plain = _unlinked(text, " | ").lower()
-    all_words = _WORD.findall(plain)
-    in_text, heavy = Counter(_phrases([w for w in all_words if w != "de"])), _heavy_tokens(all_words)
-    stuffed = seen = 0
-    for line in text.split("\n"):
-        if not line.strip():
+    lengths: list[int] = []
+
+    def mark(m: re.Match) -> str:
+        lengths.append(m.end() - m.start())
+        return _LINKED
+
+    plain = _LINK.sub(mark, text) if "." in text or "](" in text or "<" in text or "[" in text else text
+    pieces = []
+    records = 0
+    seen_links = all_chars = all_units = all_func = record_chars = tag_chars = 0
+    tokens: list[str] = []
+    near_tokens: list[tuple[str, str]] = []
+    for line in plain.split("\n"):
+        line = line.strip()
+        if not line:
             continue
-        found = _links(line)
-        tag = bool(_TAG_LINE.match(line))
-        record = not tag and not found and bool(_RECORD.match(line))
-        if found:
-            links += len(found)
-            link_chars += sum(m.end() - m.start() for m in found)
-            if _segment_parts(_LINK.sub(" ", line).lower())[1] <= 5 * len(found):
-                line_chars += len(line)
-        if tag:
-            tag_chars += len(line)
-        elif record:
-            record_chars += len(line)
-            seen += len(line)
+        linked, tag = _LINKED in line, bool(_TAGGED.match(line))
+        if not tag and not linked and _RECORD.match(line):
+            n = len(line)
+            record_chars += n
+            all_chars += n
+            all_units += len(_WORD.findall(line))
+            records += 1
             continue
-        if found or tag:
-            pieces = _link_pieces(line, found)
-        else:
-            pieces = [p for x in _SENTENCE.findall(line) for p in x.split("|") if p.strip()]
-        for piece in pieces:
-            chars = len(piece.strip())
-            seen += chars
-            stuffed += chars * _stuffed(piece, bool(found), in_text, heavy)
-    units = func = bare = bare_rest = 0
-    words: list[str] = []
-    short: Counter[str] = Counter()
-    short_units: Counter[str] = Counter()
-    for segment in _SEGMENT.split(plain):
-        own, n, f, run = _segment_parts(segment)
-        if not n:
-            continue
-        units += n
-        func += f
-        words += own
-        if n <= 6 and run <= PHRASE_RUN:
-            key = " ".join(own)
-            short[key] += 1
-            short_units[key] += n
-            if not f:
-                bare += n
-        elif f / n < 0.12:
-            bare_rest += n
-    repeated = sum(u for k, u in short_units.items() if short[k] > 1)
-    counts = Counter(w for w in words if w not in _FUNCTION and not w.isdigit())
-    content = sum(counts.values())
-    n_words = max(1, len(words))
-    in_pairs = sum(c for c in in_text.values() if c > 2)
-    total = max(1, units)
-    lower_links = max(1, links)
+        for piece in [line] if tag else _PIECE.findall(line):
+            key = piece.strip().lower()
+            own = key.count(_LINKED) if linked else 0
+            chars = len(key) + (sum(lengths[seen_links : seen_links + own]) - own if own else 0)
+            seen_links += own
+            if chars <= 0:
+                continue
+            content, units, func, run = _content(key)
+            near = list(zip(content, content[1:]))
+            tokens += content
+            near_tokens += near
+            all_chars += chars
+            all_units += units
+            all_func += func
+            if tag:
+                tag_chars += chars
+            pieces.append((chars, key, content, near, units, func, run, own, tag))
+    counts, pairs = Counter(tokens), Counter(near_tokens)
+    total = len(tokens)
+    # tokens that a text repeats more than writing does: at least three times and 2 % of all
+    least = max(3, 0.02 * total)
+    heavy = {t for t, c in counts.items() if c >= least}
+    known: set[str] = set()
+    link = bare = in_heavy = phrase = echo = prose = repeated = 0
+    for chars, key, content, near, units, func, run, own, tag in pieces:
+        dense = len([1 for t in content if t in heavy]) / len(content) if heavy and content else 0.0
+        function = func / units if units else 0.0
+        if own and units <= 5 * own:
+            link += chars
+        if function < 0.12 and run <= PHRASE_RUN and (units or own):
+            bare += chars
+        if dense >= 0.5 and function < 0.3:
+            in_heavy += chars
+        again = len(near) > 1 and len(near) > len(set(near)) and any(c > 1 and pairs[x] > 2 for x, c in Counter(near).items())
+        if again:
+            phrase += chars
+        if units <= SHORT and any([pairs[x] > 1 for x in near]):
+            echo += chars
+        elif not again and not tag and units > 3 * own and (function >= 0.3 or (function >= 0.2 and dense < 0.4)):
+            prose += chars
+        if key in known and units > 1:
+            repeated += chars
+        known.add(key)
+    words = max(1, all_units)
+    largest = sorted(counts.values())[-5:]
+    raw = text.encode("utf-8", "replace")
     return [
-        link_chars / size,
-        line_chars / size,
-        links / (total + lower_links),
-        bare / total,
-        bare_rest / total,
-        func / total,
-        sum(c for c in counts.values() if c > 2) / max(1, content),
-        sum(c for _, c in counts.most_common(5)) / max(1, content),
-        len(counts) / max(1, content),
-        tag_chars / size,
-        sum(plain.count(c) for c in ",|/") / total,
-        sum(text.count(c) for c in ".!?。！？") / total,
-        sum(map(str.isdigit, text)) / size,
-        record_chars / size,
-        repeated / total,
-        float(np.log1p(units)),
+        sum(lengths) / size,
+        len(lengths) / (words + len(lengths)),
+        *(n / max(1, all_chars) for n in (link, bare, in_heavy, phrase, echo, prose, record_chars, tag_chars, repeated)),
+        all_func / words,
+        sum(counts[t] for t in heavy) / max(1, total),
+        sum(largest) / max(1, total),
+        len(counts) / max(1, total),
+        sum(c for c in pairs.values() if c > 2) / max(1, total),
+        sum(map(plain.count, ",|/-;")) / words,
+        sum(map(plain.count, ".!?。！？")) / words,
+        len(re.findall(r"[0-9]", plain)) / size,
         len(_CJK.findall(text)) / size,
-        in_pairs / n_words,
-        stuffed / max(1, seen),
-        _heavy_share(all_words, heavy),
+        float(np.log1p(all_units)),
+        all_units / max(1, len(pieces) + records),
+        len(zlib.compress(raw, 1)) / len(raw),
     ]
 
 
 #: Rows of the weakly labelled sample that the trees are fitted on, at most.
 SAMPLE_ROWS = 20_000
-TREES, DEPTH, LEAF = 25, 6, 5
-#: Share of the host's rate in a page's smoothed score, and pages' worth of the overall rate in a host's.
-HOST_WEIGHT, HOST_PRIOR = 0.1, 10.0
-#: A page with fewer words and no link is a remark, not spam.
-REMARK_WORDS = 6
+TREES, DEPTH, LEAF = 25, 7, 3
+#: How far a host's log-odds of spam move those of its pages, and pages' worth of the overall rate in a host's.
+HOST_WEIGHT, HOST_PRIOR = 0.3, 20.0
 SALTS = 16
 _AT = {name: i for i, name in enumerate(FEATURES)}
 
 
+def weak_signals(x: np.ndarray) -> np.ndarray:
+    """What each signal says of each page: 1 spam, 0 no spam, -1 nothing (pages by signals)."""
+    f = {name: x[:, i] for name, i in _AT.items()}
+    words = np.expm1(f["log_words"])
+    says = lambda kind, sure: np.where(sure, kind, -1)
+    return np.stack(
+        [
+            says(1, (f["link_pieces"] > 0.6) & (f["link_share"] > 0.3)),  # a list of links
+            says(1, (f["heavy_pieces"] > 0.65) & (f["top_share"] > 0.35) & (f["record_pieces"] < 0.1) & (words >= 12)),  # the same few words again and again
+            says(1, (f["phrase_pieces"] > 0.65) & (f["pair_share"] > 0.4) & (f["record_pieces"] < 0.1) & (words >= 12)),  # phrases repeated inside sentences
+            says(1, (f["echo_pieces"] > 0.6) & (f["prose_pieces"] < 0.35) & (f["record_pieces"] < 0.1) & (words >= 12)),  # short pieces that repeat phrases of each other
+            says(1, (f["tag_pieces"] > 0.65) & (words >= 8)),  # lines of tags
+            says(1, (f["bare_pieces"] > 0.85) & (f["function_share"] < 0.08) & (f["record_pieces"] < 0.1) & (f["distinct_share"] < 0.9) & (words >= 12)),  # phrases without sentences
+            says(0, (f["prose_pieces"] > 0.7) & (f["link_share"] < 0.2)),  # sentences
+            says(0, (f["record_pieces"] > 0.8) & (f["link_share"] < 0.1)),  # records, settings, check lists
+            says(0, (words < 8) & (f["link_share"] == 0) & (f["tag_pieces"] == 0) & (f["repeated_pieces"] == 0)),  # remarks
+            says(0, (f["function_share"] > 0.3) & (f["pair_share"] < 0.15) & (f["echo_pieces"] < 0.1) & (f["link_share"] < 0.25)),  # grammar without repetition
+        ],
+        axis=1,
+    )
+
+
 def weak_labels(x: np.ndarray) -> np.ndarray:
-    """1 spam, 0 no spam, -1 unknown, by rules of thumb that leave the middle out."""
-    words, stuffed, links = np.expm1(x[:, _AT["log_words"]]), x[:, _AT["stuffed_share"]], x[:, _AT["links_per_word"]]
-    label = np.full(len(x), -1)
-    label[(stuffed > 0.6) & (x[:, _AT["record_share"]] < 0.2)] = 1
-    label[stuffed < 0.4] = 0
-    label[(words < REMARK_WORDS) & (links == 0)] = 0
-    return label
+    """1 spam, 0 no spam, -1 where no signal speaks or signals contradict each other."""
+    says = weak_signals(x)
+    spam, other = (says == 1).any(axis=1), (says == 0).any(axis=1)
+    return np.where(spam & ~other, 1, np.where(other & ~spam, 0, -1))
 
 
 def _gini_split(x: np.ndarray, y: np.ndarray, features: np.ndarray) -> tuple[float, int, float] | None:
@@ -334,60 +286,81 @@ def predict_trees(forest: list[list[tuple]], x: np.ndarray) -> np.ndarray:
     return total / max(1, len(forest))
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _features(texts: pd.Series) -> pd.Series:
-    return texts.map(page_features)
+#: Hosts or texts up to which their table is broadcast; beyond, it is joined by sorting, salted.
+BROADCAST_ROWS = 100_000
+
+
+def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Features and weak label of whole texts."""
+    for pdf in batches:
+        x = np.array([page_features(t) for t in pdf["text"]], dtype=np.float32).reshape(-1, len(FEATURES))
+        yield pd.DataFrame({"id": pdf["id"], "host": pdf["host"], "digest": pdf["digest"], "x": list(x), "weak": weak_labels(x.astype(float)).astype(np.int32)})
+
+
+def _sample(rows: DataFrame, label: int, wanted: int, of: int) -> np.ndarray:
+    """At most ``wanted`` different pages of a label, drawn by the hash of their features."""
+    pool = rows.filter(F.col("weak") == label).select("x", F.xxhash64("x").alias("h"))
+    if of > 4 * wanted:  # hashes are spread evenly, so a bound leaves about four times what is wanted
+        pool = pool.filter(F.col("h") < F.lit(int(-(2**63) + 2**64 * (4 * wanted / of))))
+    drawn = pool.dropDuplicates(["h"]).orderBy("h").limit(wanted).collect()
+    return np.array([r["x"] for r in drawn], dtype=float).reshape(-1, len(FEATURES))
+
+
+def _beside(df: DataFrame, few: DataFrame, key: str, by: str) -> DataFrame:
+    """``df`` with the columns of its row in ``few``, a table with one row per ``key``; a key may be on a third of the rows."""
+    if few.count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(few), key, "left")
+    salted = few.withColumn("salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))
+    return df.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), [key, "salt"], "left").drop("salt")
 
 
-@F.pandas_udf(T.IntegerType())
-def _weak(features: pd.Series) -> pd.Series:
-    return pd.Series(weak_labels(np.stack(features.to_list())) if len(features) else [], dtype="int32")
+def _log_odds(p):
+    p = F.least(F.greatest(p, F.lit(0.005)), F.lit(0.995))
+    return F.log(p / (1 - p))
 
 
-def spam_scores(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str | None = "source", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def spam_scores(
+    documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str | None = "source", sample_rows: int = SAMPLE_ROWS, host_weight: float = HOST_WEIGHT, held_out: DataFrame | None = None
+) -> DataFrame:
     """``(id_column, page_score, host_rate, score)`` of every document.
 
     Features come from whole texts. The trees are fitted on the driver on at most
-    ``sample_rows`` weakly labelled rows, drawn by the hash of their features, half of them
-    spam where there is enough; they are applied to every row. ``score`` mixes a page's score
-    with the rate of its host (shrunk towards the overall rate); a page without a host keeps
-    its own. Exact copies of a text all get the greatest score of any. Null, empty and blank
-    texts and remarks without links score 0. Repeated rows get repeated results; without labels of both kinds the weak label itself is the score.
+    ``sample_rows`` weakly labelled pages, drawn by the hash of their features, half of them
+    spam where there is enough; they are applied to every row. ``score`` moves the log-odds of
+    a page by those of its host's rate (shrunk towards the overall rate) against the overall rate,
+    times ``host_weight``; a page without a host keeps its own. Exact copies of a text all get the
+    greatest score of any. Null, empty and blank texts score 0. Repeated rows get repeated
+    results; without labels of both kinds the weak label itself is the score. Pages whose ids are
+    in ``held_out`` (a column of the same name) are judged but never fitted on.
     """
     host = F.lower(F.trim(F.col(f"`{host_column}`").cast("string"))) if host_column else F.lit(None).cast("string")
+    kind = documents.schema[id_column].dataType.simpleString()
     rows = documents.select(F.col(f"`{id_column}`").alias("id"), F.nullif(host, F.lit("")).alias("host"), F.col(f"`{text_column}`").cast("string").alias("text"))
-    rows = spread(rows).select("id", "host", F.unhex(F.sha2("text", 256)).alias("digest"), _features("text").alias("x"))
-    rows = cut(rows.withColumn("weak", _weak("x")))
-    drawn = []
-    for label in (0, 1):
-        pool = rows.filter(F.col("weak") == label).select("x").withColumn("h", F.xxhash64("x"))
-        drawn.append(np.array([r["x"] for r in pool.orderBy("h").limit(sample_rows // 2).select("x").collect()]).reshape(-1, len(FEATURES)))
+    rows = spread(rows.withColumn("digest", F.unhex(F.md5("text"))))
+    rows = cut(rows.mapInPandas(_judge, f"id {kind}, host string, digest binary, x array<float>, weak int"))
+    labelled = rows if held_out is None else rows.join(held_out.select(F.col(f"`{id_column}`").alias("id")).distinct(), "id", "left_anti")
+    sizes = {r["weak"]: r["n"] for r in labelled.groupBy("weak").agg(F.count("*").alias("n")).collect()}
+    drawn = [_sample(labelled, label, sample_rows // 2, sizes.get(label, 0)) for label in (0, 1)]
     forest = None
     if len(drawn[0]) and len(drawn[1]):
         forest = fit_trees(np.concatenate(drawn), np.r_[np.zeros(len(drawn[0])), np.ones(len(drawn[1]))])
     shared = documents.sparkSession.sparkContext.broadcast(forest)
 
-    @F.pandas_udf(T.DoubleType())
-    def predict(features: pd.Series) -> pd.Series:
-        if not len(features):
-            return pd.Series([], dtype="float64")
-        x = np.stack(features.to_list())
-        p = np.maximum(weak_labels(x), 0).astype(float) if shared.value is None else predict_trees(shared.value, x)
-        remark = (np.expm1(x[:, _AT["log_words"]]) < REMARK_WORDS) & (x[:, _AT["links_per_word"]] == 0)
-        return pd.Series(np.where(remark, 0.0, p))
+    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = np.stack(pdf["x"].to_list()).astype(float) if len(pdf) else np.empty((0, len(FEATURES)))
+            p = np.maximum(weak_labels(x), 0).astype(float) if shared.value is None else predict_trees(shared.value, x)
+            yield pd.DataFrame({"id": pdf["id"], "host": pdf["host"], "digest": pdf["digest"], "p": np.where(x.any(axis=1), p, 0.0)})
 
-    scored = cut(rows.select("id", "host", "digest", predict("x").alias("p")))
+    scored = cut(rows.select("id", "host", "digest", "x").mapInPandas(predict, f"id {kind}, host string, digest binary, p double"))
     overall = scored.agg(F.avg("p")).first()[0] or 0.0
     rates = scored.filter("host is not null").groupBy("host").agg(((F.sum("p") + HOST_PRIOR * overall) / (F.count("*") + HOST_PRIOR)).alias("rate"))
-    # one host may hold a third of all pages: its rows are spread over SALTS keys
-    salted = rates.select("host", "rate", F.explode(F.expr(f"sequence(0, {SALTS - 1})")).alias("salt"))
-    joined = scored.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
-    mixed = F.when(F.col("rate").isNull() | (F.col("p") == 0), F.col("p")).otherwise((1 - HOST_WEIGHT) * F.col("p") + HOST_WEIGHT * F.col("rate"))
-    mixed = joined.select("id", "digest", "salt", "p", "rate", mixed.alias("mixed"))
-    # only texts whose copies differ in score are joined back, to rows spread in the same way
-    copies = mixed.filter("p > 0").groupBy("digest").agg(F.max("mixed").alias("best"), F.min("mixed").alias("least")).filter("best > least")
-    copies = copies.select("digest", "best", F.explode(F.expr(f"sequence(0, {SALTS - 1})")).alias("salt"))
-    out = mixed.join(copies, ["digest", "salt"], "left")
+    moved = _log_odds(F.col("p")) + host_weight * (_log_odds(F.col("rate")) - _log_odds(F.lit(overall)))
+    mixed = F.when(F.col("rate").isNull() | (F.col("p") == 0), F.col("p")).otherwise(1 / (1 + F.exp(-moved)))
+    mixed = _beside(scored, rates, "host", "id").select("id", "digest", "p", "rate", mixed.alias("mixed"))
+    # only texts whose copies differ in score are joined back
+    copies = mixed.filter("p > 0").groupBy("digest").agg(F.max("mixed").alias("best"), F.min("mixed").alias("least")).filter("best > least").select("digest", "best")
+    out = _beside(mixed, copies, "digest", "id")
     return out.select(F.col("id").alias(id_column), F.col("p").alias("page_score"), F.col("rate").alias("host_rate"), F.coalesce("best", "mixed").alias("score"))
 
 
