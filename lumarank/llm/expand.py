@@ -17,10 +17,10 @@ BROADCAST_ROWS = 100_000
 class Blocks:
     """The classes of ``members`` with more than ``size`` of them, and the number of their blocks."""
 
-    def __init__(self, members: DataFrame, key: str, size: int = CLASS_BLOCK):
+    def __init__(self, members: DataFrame, key: str, size: int = CLASS_BLOCK, classes: DataFrame | None = None):
         self.key, self.members = key, members
         #: ``(key, copies)`` of all classes
-        self.classes = cut(members.groupBy(key).agg(F.count("*").alias("copies")))
+        self.classes = cut(members.groupBy(key).agg(F.count("*").alias("copies"))) if classes is None else classes
         large = self.classes.filter(F.col("copies") > size).select(F.col(key).alias("__large"), F.ceil(F.col("copies") / size).cast("int").alias("__blocks"))
         found = large.count()
         self.large = None if not found else F.broadcast(large) if found <= BROADCAST_ROWS else large.hint("merge")

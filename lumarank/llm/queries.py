@@ -29,6 +29,11 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return vectors.neighbour_pairs(table(spark, root, "embedding_cache"), table(spark, root, "embedding_models"))
 
 
+@_query("p1_recall")
+def p1_recall(spark: SparkSession, root: str) -> DataFrame:
+    return vectors.neighbour_recall(table(spark, root, "embedding_cache"), table(spark, root, "embedding_models"))
+
+
 _HASHES = r"""
 WITH cur AS (SELECT DISTINCT file_path, phash FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY mtime_ns DESC NULLS LAST, phash DESC NULLS LAST) AS r
              FROM visual_hash_cache WHERE file_path IS NOT NULL) WHERE r = 1),

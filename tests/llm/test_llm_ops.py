@@ -28,17 +28,49 @@ def exact(rows):
 
 
 def as_rows(spark, rows):
-    return spark.createDataFrame([(p, m, bytearray(v.tobytes())) for p, m, v in rows], "file_path string, model_key string, vector binary")
+    return spark.createDataFrame([(p, m, bytearray(vectors.pack_vector(v))) for p, m, v in rows], "file_path string, model_key string, vector binary")
 
 
 def test_usable_vectors():
     ok = vectors.usable_vector
-    assert ok(" [3, 4.0e0]\n", 2) is not None and np.frombuffer(ok("[3,4]", 2)).tolist() == [0.6, 0.8]
+    assert ok(" [3, 4.0e0]\n", 2) is not None and vectors.unit_vectors([ok("[3,4]", 2)]).tolist() == [[0.6, 0.8]]
     assert ok("[1e308, 1e308]", 2) is not None and ok("[1e-320, 0]", 2) is not None
     for bad in ("[1, NaN]", "[1, Infinity]", "[1, 1e999]", "[0, 0.0]", "[1]", "[1, 2, 3]", '[1, "2"]', "[1, true]", "[1, null]", "[[1, 2]]", '{"v": [1, 2]}', "[1, 2", "", None, "[1, 2] x", "nan"):
         assert ok(bad, 2) is None, bad
 
 
+def test_packed_vectors_are_exact():
+    rng = np.random.default_rng(1)
+    for v in (rng.normal(size=9).round(4), rng.normal(size=9).round(6) * 300, rng.normal(size=9), np.array([1e300, -1e-300, 0.5]), np.array([3.0, -32768.0, 0.0]), np.array([1234567.0, 0.25, -2.0**31])):
+        b = vectors.pack_vector(v)
+        back = np.frombuffer(b, "<f8", offset=1) if b[0] == 255 else np.frombuffer(b, "<i2" if b[0] < 16 else "<i4", offset=1) / 10.0 ** (b[0] & 15)
+        assert back.tolist() == v.tolist()
+    assert len(vectors.pack_vector(rng.normal(size=48).round(4))) == 97
+
+
+def test_footrule_of_truncated_permutations():
+    rng = np.random.default_rng(2)
+    q, e = (np.array([rng.permutation(30)[:8] for _ in range(n)], dtype=np.int16) for n in (5, 40))
+    e[3, 6:] = q[2, 6:] = -1
+    got = vectors.footrule_agreement(q, e)
+    for i, a in enumerate(e.tolist()):
+        for j, b in enumerate(q.tolist()):
+            place = lambda p, x: p.index(x) if x in p else 8
+            pivots = {x for x in a + b if x >= 0}
+            distance = sum(abs(place(a, x) - place(b, x)) for x in pivots)
+            both = sum(8 - place(p, x) for p in (a, b) for x in pivots)
+            assert distance == both - 2 * int(got[i, j])
+
+
+def test_recall_query_and_bound_of_exact_search(spark, sf, monkeypatch):
+    cache, models = table(spark, sf, "embedding_cache"), table(spark, sf, "embedding_models")
+    rows = vectors.neighbour_recall(cache, models, every=5).collect()
+    assert len(rows) == 3 and sum(r.found for r in rows) >= 0.96 * sum(r.wanted for r in rows) and all(r.wanted == 5 * r.queries for r in rows)
+    monkeypatch.setattr(vectors, "EXACT_BYTES", 100)
+    with pytest.raises(ValueError):
+        vectors.exact_neighbours(vectors.current_vectors(cache, models), cache)
+
+
 def test_neighbours_with_hot_and_equal_vectors(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(30, 16))
@@ -73,7 +105,7 @@ def test_current_vectors(spark):
     ).withColumn("mtime_ns", F.lit(1)).withColumn("dims", F.lit("clash"))
     models = spark.createDataFrame([("m", 2), ("m", 2), (None, 3)], "model_key string, dims int")
     rows = vectors.current_vectors(cache, models).collect()
-    assert [(r.file_path, np.frombuffer(r.vector).tolist()) for r in rows] == [("/a", [0.0, 1.0])]
+    assert [(r.file_path, vectors.unit_vectors([bytes(r.vector)]).tolist()) for r in rows] == [("/a", [[0.0, 1.0]])]
 
 
 # --- near duplicates ------------------------------------------------------------------------
