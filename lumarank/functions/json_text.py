@@ -120,21 +120,60 @@ def last_json_object(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if (d := last_object(x)) is None else json.dumps(d, ensure_ascii=False, separators=(",", ":")))
 
 
-def labelled_score(text: Column) -> Column:
-    """A 0-10 score in a text: of its JSON, else after a label, else in a phrase, else the bare number.
+# Words that name a score, and words between such a name and its number in a sentence.
+SCORE_WORDS = ("overall", "score", "rating")
+LINKING_WORDS = ("is", "was", "be", "looks like", "estimated at", "likely", "around", "approximately", "about", "maybe", "roughly")
+#: Characters of a sentence between the name and the linking word, at most.
+SENTENCE_REACH = 120
+
+
+def _leading_number(token: str) -> float | None:
+    """The number that a token is, or begins with before a mark such as / or %."""
+    digits = token[1:] if token.startswith("-") else token
+    end = 0
+    while end < len(digits) and (digits[end].isdecimal() or (digits[end] == "." and 0 < end < len(digits) - 1 and digits[end + 1].isdecimal() and "." not in digits[:end])):
+        end += 1
+    if not end or digits[end : end + 1].isalpha():
+        return None
+    return float(digits[:end]) * (-1 if token.startswith("-") else 1)
+
 
-    Numbers between 0 and 1 are shares and scaled by 10; null if there is no reliable one.
+def score_in(text: str | None) -> float | None:
+    """A 0-10 score in a text: of its JSON, else behind a name and a sign, else told in a sentence, else the bare number.
+
+    A sentence tells a score if one of the LINKING_WORDS stands right before the number, within
+    SENTENCE_REACH of the name, and no "scale of" comes between. Numbers between 0 and 1 are shares.
     """
-    doc = last_json_object(text)
-    of_json = F.coalesce(*[F.get_json_object(doc, f"$.{k}") for k in ("overall", "score", "rating")]).try_cast("double")
-    number = lambda pattern, group: F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).cast("double")
-    label = number("(?i)[`\"']?(?:overall|score|rating)[`\"']?\\s*[:=]\\s*(-?\\d+(?:\\.\\d+)?)", 1)
-    phrase = "(?is)\\b(?:overall|score|rating)\\b.{0,120}?\\b(?:is|was|be|looks\\s+like|estimated\\s+at|likely|around|approximately|about|maybe|roughly)\\s*(-?\\d+(?:\\.\\d+)?)\\b"
-    scale = F.regexp_extract(text, phrase, 0).rlike("(?i)\\bscale\\s+of\\s+-?\\d+(?:\\.\\d+)?\\s+to\\s+-?\\d")
-    told = F.when(~scale, number(phrase, 1))
-    bare = F.when(F.trim(text).rlike("^-?\\d+(\\.\\d+)?$"), F.trim(text).try_cast("double"))
-    value = F.coalesce(of_json, label, told, bare)
-    return clamp(F.when((value > 0) & (value < 1), value * 10).otherwise(value), 0.0, 10.0)
+    if not text:
+        return None
+    doc = last_object(text) or {}
+    value = next((float(doc[k]) for k in SCORE_WORDS if isinstance(doc.get(k), (int, float)) and not isinstance(doc.get(k), bool)), None)
+    # tokens with the place where they begin; signs are tokens of their own
+    tokens = [(m.start(), m.group().strip("`\"'*_,;()[]{}").rstrip(".!?")) for m in re.finditer(r"[:=]|[^\s:=]+", text.lower())]
+    tokens = [(at, t) for at, t in tokens if t]
+    words = [t for _, t in tokens]
+    names = [i for i, t in enumerate(words) if t in SCORE_WORDS]
+    if value is None:
+        value = next((v for i in names if words[i + 1 : i + 2] in ([":"], ["="]) and i + 2 < len(words) and (v := _leading_number(words[i + 2])) is not None), None)
+    for i in names if value is None else ():
+        for j in range(i + 1, len(words)):
+            if tokens[j][0] - tokens[i][0] > SENTENCE_REACH + len(words[i]) or words[j : j + 2] == ["scale", "of"]:
+                break
+            if (words[j - 1] in LINKING_WORDS or " ".join(words[j - 2 : j]) in LINKING_WORDS) and (v := _leading_number(words[j])) is not None:
+                value = v
+                break
+        break  # the first name decides
+    if value is None and len(words) == 1 and words[0] == text.strip():
+        value = _leading_number(words[0]) if words[0].lstrip("-").replace(".", "", 1).isdecimal() else None
+    if value is None or value != value:
+        return None
+    return min(10.0, max(0.0, value * 10 if 0 < value < 1 else value))
+
+
+@F.pandas_udf(T.DoubleType())
+def labelled_score(text: pd.Series) -> pd.Series:
+    """``score_in`` of every text."""
+    return text.map(score_in).astype(float)
 
 
 _VISION = T.StructType([*[T.StructField(d, T.DoubleType()) for d in VISION_DIMS], T.StructField("scene", T.StringType()), T.StructField("scene_raw", T.StringType()), T.StructField("ok", T.BooleanType())])

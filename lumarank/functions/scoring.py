@@ -214,9 +214,15 @@ def expected_grade(bins: Column) -> Column:
 
 
 def softmax(v: Column) -> Column:
-    """Probabilities of an array of logits, shifted by the largest."""
-    e = F.transform(v, lambda x: F.exp(x - F.array_max(v)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    """Probabilities of an array of logits, shifted by the largest.
+
+    The largest, and the sum, are bound by one-element arrays: inside the inner lambda they would
+    be computed again for every element.
+    """
+    shifted = F.transform(F.array(F.struct(v.alias("v"), F.array_max(v).alias("top"))), lambda s: F.transform(s["v"], lambda x: F.exp(x - s["top"])))[0]
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda s, y: s + y)
+    bound = F.transform(F.array(shifted), lambda e: F.struct(e.alias("e"), total(e).alias("sum")))
+    return F.transform(bound, lambda t: F.transform(t["e"], lambda x: x / t["sum"]))[0]
 
 
 def calibrated(raw: Column, scale: Column, offset: Column, pivot: float = 5.5, blend: Column | float = 1.0) -> Column:

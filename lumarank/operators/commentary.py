@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumarank.operators.ranking import positions
 from lumarank.constants import DIM_LABELS_EN, DIM_LABELS_ZH
 from lumarank.functions import text as X
 
@@ -35,8 +36,8 @@ def group_prompt(df: DataFrame, group: Sequence[str], order: str, line: Column,
 
     A group of any size is cut into prompts by its order before lines are gathered.
     """
-    at = F.row_number().over(Window.partitionBy(*group).orderBy(order)) - 1
-    rows = df.withColumn("__at", at).withColumn("part", F.floor(F.col("__at") / limit).cast("int")).withColumn("__line", line)
+    rows = positions(df, group, [F.asc(order)], "__at").withColumn("__at", F.col("__at") - 1)
+    rows = rows.withColumn("part", F.floor(F.col("__at") / limit).cast("int")).withColumn("__line", line)
     out = rows.groupBy(*group, "part").agg(F.count("*").alias("lines"), F.array_sort(F.collect_list(F.struct("__at", "__line"))).alias("x"))
     return out.withColumn("prompt", F.array_join(F.transform("x", lambda e: e["__line"]), "\n")).drop("x")
 

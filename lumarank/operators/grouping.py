@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lumarank.functions.identity import group_id, hamming
+from lumarank.functions.identity import hamming
 from lumarank.functions.scoring import cosine
 
+#: Islands without a time that one window holds.
+ISLANDS = 100_000
+
 
 def seconds_between(early: Column, late: Column) -> Column:
     """Elapsed seconds with their fraction."""
@@ -56,13 +62,27 @@ def merged_islands(edges: DataFrame, same: Column, partition: Sequence[str] = ()
     """Adds ``group_seq`` to island edges: neighbours merge within the gap where ``same`` holds.
 
     ``same`` compares ``prev`` (the last row of the island before) with ``first``. Islands
-    without a time never merge. The window runs over one row per island.
+    without a time never merge. With ``partition`` windows run within it; without one, days are
+    windows of their own (islands without a time, which come last, pieces of ISLANDS), and only one
+    row of each meets in a second window that chains them.
     """
-    w = Window.partitionBy(*partition).orderBy("island") if partition else Window.orderBy("island")
-    rows = edges.withColumn("prev", F.lag("last").over(w))
-    near = seconds_between(F.col("prev.time"), F.col("first.time")) <= max_gap_seconds
-    rows = rows.withColumn("__new", F.when(F.coalesce(near & same, F.lit(False)), 0).otherwise(1))
-    return rows.withColumn("group_seq", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new", "prev")
+    near = lambda: F.coalesce((seconds_between(F.col("prev.time"), F.col("first.time")) <= max_gap_seconds) & same, F.lit(False))
+    if partition:
+        w = Window.partitionBy(*partition).orderBy("island")
+        rows = edges.withColumn("prev", F.lag("last").over(w)).withColumn("__new", F.when(near(), 0).otherwise(1))
+        return rows.withColumn("group_seq", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new", "prev")
+    rows = edges.withColumn("__day", F.coalesce(F.to_date("first.time").cast("string"), F.concat(F.lit("none "), (F.col("island") / ISLANDS).cast("bigint"))))
+    w, chain = Window.partitionBy("__day").orderBy("island"), Window.orderBy("__lo")
+    days = rows.groupBy("__day").agg(F.min("island").alias("__lo"), F.max_by("last", "island").alias("__last"))
+    before = days.select(F.col("__day").alias("__d"), F.lag("__last").over(chain).alias("__before"), F.col("__lo"))
+    rows = rows.withColumn("prev", F.lag("last").over(w)).join(before, F.col("__day") == F.col("__d"))
+    rows = rows.withColumn("prev", F.coalesce("prev", "__before")).withColumn("__new", F.when(near(), 0).otherwise(1))
+    counts = rows.groupBy("__day", "__lo").agg(F.sum("__new").alias("n"))
+    shift = F.coalesce(F.sum("n").over(chain.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col("__day").alias("__c"), shift.alias("__shift"))
+    local = F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    out = rows.withColumn("group_seq", local).join(counts, F.col("__day") == F.col("__c")).withColumn("group_seq", F.col("group_seq") + F.col("__shift"))
+    return out.drop("__new", "prev", "__day", "__d", "__before", "__lo", "__c", "__shift")
 
 
 def similar_edges(hash_column: str | None = None, vector_column: str | None = None, max_bits: int = 10, min_cosine: float = 0.9) -> Column:
@@ -76,5 +96,38 @@ def similar_edges(hash_column: str | None = None, vector_column: str | None = No
 
 
 def named_groups(df: DataFrame, group: Sequence[str], path: str) -> DataFrame:
-    """``(group..., group_id, members)`` with the name derived from the sorted members."""
-    return df.groupBy(*group).agg(group_id(F.collect_list(path)).alias("group_id"), F.count("*").alias("members"))
+    """``(group..., group_id, members)`` with the name derived from the sorted members.
+
+    The digest runs over the members in their order, batch by batch, so that a group of any size
+    is never gathered. Rows of a null path count as members but not for the name.
+    """
+    fields = {f.name: f.dataType for f in df.schema.fields}
+    schema = T.StructType([*[T.StructField(g, fields[g]) for g in group], T.StructField("group_id", T.StringType()), T.StructField("members", T.LongType())])
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, hashed, known, members = None, None, 0, 0
+        done: list[tuple] = []
+        for pdf in batches:
+            paths = pdf["__path"].to_numpy()
+            keys = list(pdf[list(group)].itertuples(index=False, name=None))
+            same = [tuple(None if x != x else x for x in k) for k in keys]  # missing numbers arrive as NaN
+            start = 0
+            for i in range(1, len(same) + 1):
+                if i < len(same) and same[i] == same[start]:
+                    continue
+                if at != same[start] or hashed is None:
+                    if hashed is not None:
+                        done.append((*at, "group_" + hashed.hexdigest()[:16], members))
+                    at, hashed, known, members = same[start], hashlib.sha256(), 0, 0
+                own = [p for p in paths[start:i] if p is not None]
+                if own:
+                    hashed.update((("\x00" if known else "") + "\x00".join(own)).encode("utf-8"))
+                known, members, start = known + len(own), members + i - start, i
+            if done:
+                yield pd.DataFrame(done, columns=schema.names)
+                done = []
+        if hashed is not None:
+            yield pd.DataFrame([(*at, "group_" + hashed.hexdigest()[:16], members)], columns=schema.names)
+
+    rows = df.select(*group, F.col(path).alias("__path"))
+    return rows.repartition(*group).sortWithinPartitions(*group, "__path").mapInPandas(digest, schema)

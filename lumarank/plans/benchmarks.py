@@ -269,13 +269,13 @@ def label_centroids(spark: SparkSession, root: str) -> DataFrame:
     "vector_functions",
     f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings),
 x AS (SELECT vec_id, v, n, list_transform(v, lambda y: exp(y - list_max(v))) AS ex FROM e)
-SELECT vec_id, {r('n')} AS norm, {r('CASE WHEN n > 0 THEN v[1] / n ELSE v[1] END', 5)} AS first_unit, {r('ex[1] / list_sum(ex)', 6)} AS first_probability FROM x""",
+SELECT vec_id, {r('n')} AS norm, {r('CASE WHEN n > 0 THEN v[1] / n ELSE v[1] END', 5)} AS first_unit, {r('CASE WHEN n > 0 THEN v[-1] / n ELSE v[-1] END', 5)} AS last_unit, {r('ex[1] / list_sum(ex)', 6)} AS first_probability, {r('list_max(ex) / list_sum(ex)', 6)} AS top_probability FROM x""",
 )
 def vector_functions(spark: SparkSession, root: str) -> DataFrame:
     """Length, unit form and softmax of vectors, within the row."""
     v = F.col("embedding").cast("array<double>")
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return table(spark, root, "embeddings").select("vec_id", half_up(norm, 4).alias("norm"), half_up(unit_vector(v)[0], 5).alias("first_unit"), half_up(softmax(v)[0], 6).alias("first_probability"))
+    return table(spark, root, "embeddings").select("vec_id", half_up(norm, 4).alias("norm"), half_up(unit_vector(v)[0], 5).alias("first_unit"), half_up(F.element_at(unit_vector(v), -1), 5).alias("last_unit"), half_up(softmax(v)[0], 6).alias("first_probability"), half_up(F.array_max(softmax(v)), 6).alias("top_probability"))
 
 
 # --- grids and sets -----------------------------------------------------------------------

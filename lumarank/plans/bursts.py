@@ -132,7 +132,8 @@ def latest_job_files(spark: SparkSession, root: str) -> DataFrame:
 @query(
     "boundary_hamming",
     r"""WITH cur AS (SELECT file_path, phash, mtime_ns FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY mtime_ns DESC NULLS LAST, phash DESC NULLS LAST) AS k FROM visual_hash_cache WHERE file_path IS NOT NULL) WHERE k = 1),
-h AS (SELECT file_path, regexp_replace(file_path, '/[^/]*$', '') AS folder, CAST('0x' || phash AS UBIGINT) AS v FROM cur WHERE regexp_full_match(phash, '[0-9a-f]{16}')),
+b AS (SELECT file_path, regexp_replace(regexp_replace(regexp_replace(lower(phash), '[\s\x{00a0}\x{3000}]+', '', 'g'), '^(0x|\\x|x|#)', ''), '[:\-_.,;/|]', '', 'g') AS t FROM cur),
+h AS (SELECT file_path, regexp_replace(file_path, '/[^/]*$', '') AS folder, CAST('0x' || t AS UBIGINT) AS v FROM b WHERE regexp_full_match(t, '[0-9a-f]{16}')),
 p AS (SELECT file_path, v, lag(v) OVER (PARTITION BY folder ORDER BY file_path) AS before FROM h)
 SELECT file_path, bit_count(xor(v, before))::INT AS bits FROM p WHERE before IS NOT NULL""",
 )

@@ -10,9 +10,11 @@ from lumarank.functions import scoring as S
 from lumarank.operators import ranking as R
 from lumarank.plans.catalog import query
 from lumarank.plans.common import CUR, case_map, current, r, rs
-from lumarank.runtime import half_up, reported
+from lumarank.runtime import cut, half_up, reported
 
 SCORES = [f"score_{d}" for d in ALL_DIMS]
+#: States in which a photo has scores that are computed again.
+SCORED_STATUS = ("done", "scored")
 
 # --- wide legacy scores to signals ------------------------------------------------------
 
@@ -82,7 +84,7 @@ _TERM = lambda d, x: f"CASE WHEN v_{d} IS NOT NULL AND ({_W[d]}) > 0 THEN {x} EL
 SUMMARY = (
     WIDE
     + f""", s0 AS (SELECT file_path, group_key, scene_key, {r("sig_technical_quality", 2)} AS v_tech, {r("sig_subject_focus", 2)} AS v_focus, {r("sig_screening_prior", 2)} AS v_prior,
-  {", ".join(f"{r('sig_' + d, 2)} AS v_{d}" for d in _AEST)} FROM w1),
+  {", ".join(f"{r('sig_' + d, 2)} AS v_{d}" for d in _AEST)} FROM w1 WHERE status IN ('done', 'scored')),
 s1 AS (SELECT *, coalesce(v_tech, 0) AS tech, coalesce(v_focus, v_tech, 0) AS focus, coalesce(v_prior, v_tech, 0) AS prior,
   coalesce({r("(" + " + ".join(_TERM(d, f"v_{d} * ({_W[d]})") for d in _AEST) + ") / nullif(" + " + ".join(_TERM(d, _W[d]) for d in _AEST) + ", 0)", 2)}, 0) AS aesthetic,
   list_sort(list_filter([{", ".join(f"v_{d}" for d in _AEST)}], lambda x: x IS NOT NULL AND x > 0)) AS low FROM s0),
@@ -100,7 +102,8 @@ s6 AS (SELECT *, rank = 1 AND NOT blocked AND first_decision = 'reject' AS lifte
 
 
 def summarised(spark: SparkSession, root: str) -> DataFrame:
-    return S.layered_summary(wide_signals(current(spark, root, *SCORES)), "scene_key")
+    rows = current(spark, root, *SCORES, "status").filter(F.col("status").isin(*SCORED_STATUS))
+    return S.layered_summary(wide_signals(rows), "scene_key")
 
 
 @query("layered_summary", SUMMARY + "SELECT file_path, scene_key, tech, focus, prior, aesthetic, base, penalty, total, stars, first_decision AS decision FROM s6")
@@ -115,7 +118,8 @@ def layered_summary(spark: SparkSession, root: str) -> DataFrame:
 )
 def rescore(spark: SparkSession, root: str) -> DataFrame:
     """Rescoring of the library: summary, group rule and fresh ranks."""
-    rows = R.best_of_group_reviewed(summarised(spark, root), ["group_key"], "total", ["file_path"])
+    rows = cut(summarised(spark, root).select("file_path", "group_key", "total", "stars", "decision", "reasons"))  # read by each group rule
+    rows = R.best_of_group_reviewed(rows, ["group_key"], "total", ["file_path"])
     rows = R.ranked(rows, ["group_key"], "total", ["file_path"])
     return rows.select("file_path", "group_key", "total", "stars", "decision", F.size("reasons").alias("n_reasons"), "rank", "size")
 
@@ -123,7 +127,7 @@ def rescore(spark: SparkSession, root: str) -> DataFrame:
 @query("rescore_scene", SUMMARY + "SELECT file_path, total, stars, first_decision AS decision, w.group_rank AS kept_rank FROM s6 JOIN (SELECT file_path, group_rank FROM cur) w USING (file_path) WHERE scene_key = 'people'")
 def rescore_scene(spark: SparkSession, root: str) -> DataFrame:
     """Rescoring of one scene: new scores, stored ranks, no group rule."""
-    rows = S.layered_summary(wide_signals(current(spark, root, *SCORES, "group_rank").filter(F.col("scene_key") == "people")), "scene_key")
+    rows = S.layered_summary(wide_signals(current(spark, root, *SCORES, "group_rank", "status").filter((F.col("scene_key") == "people") & F.col("status").isin(*SCORED_STATUS))), "scene_key")
     return rows.select("file_path", "total", "stars", "decision", F.col("group_rank").alias("kept_rank"))
 
 

@@ -89,12 +89,12 @@ def top_texts(spark: SparkSession, root: str) -> DataFrame:
 @query(
     "text_shapes",
     r"""SELECT doc_id, length(text) - length(replace(text, '=', '')) >= 3 AS raw_dump, regexp_replace(regexp_replace(lower(source), '[^a-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
-  replace(replace(replace(replace(replace(left(source, 80), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS escaped FROM documents""",
+  replace(replace(replace(replace(replace(source, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS escaped FROM documents""",
 )
 def text_shapes(spark: SparkSession, root: str) -> DataFrame:
     """Dump test of the whole text; slug and XML form of the source."""
     rows = table(spark, root, "documents", ["doc_id", "text", "source"])
-    return rows.select("doc_id", X.raw_dump(F.col("text")).alias("raw_dump"), X.slug(F.col("source")).alias("slug"), X.xml_escape(F.substring("source", 1, 80)).alias("escaped"))
+    return rows.select("doc_id", X.raw_dump(F.col("text")).alias("raw_dump"), X.slug(F.col("source")).alias("slug"), X.xml_escape(F.col("source")).alias("escaped"))
 
 
 @query(

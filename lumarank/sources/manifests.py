@@ -49,9 +49,15 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, LABEL_SCHEMA)
 
 
+#: Labels that one YAML file, which the driver writes, may hold.
+MAX_LABELS = 200_000
+
+
 def write_labels(labels: DataFrame, path: str, split: str | None = None) -> int:
     """Exports labels, of one split if given, by target and path; returns how many."""
     rows = labels.filter(F.col("split") == split) if split else labels
+    if (n := rows.count()) > MAX_LABELS:
+        raise ValueError(f"{n} labels are too many for one YAML file (at most {MAX_LABELS}); write a table instead")
     items = [r.asDict() for r in rows.orderBy("target", "path").toLocalIterator()]
     if yaml is None:
         raise RuntimeError("YAML files need the yaml package")

@@ -80,3 +80,32 @@ def test_boundary_rows_only_reach_the_merge(spark):
     df = times(spark, *range(0, 300, 10)).withColumn("h", F.lit(1).cast("bigint"))
     edges = G.island_edges(G.time_islands(df, "ts", "file", 30), "ts", "file", ["h"])
     assert edges.count() == 1
+
+
+def test_large_groups_are_ordered_in_pieces(spark):
+    """One group of a third of the rows, with ties and missing scores, numbered like the small ones."""
+    rows = [("hot" if i % 3 == 0 else f"g{i % 7}", f"f{i:04d}", None if i % 11 == 0 else float(i * 37 % 10)) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, f string, s double").repartition(6)
+    windows = {r.f: (r.rank, r.size) for r in R.ranked(df, ["g"], "s", ["f"]).collect()}
+    pieces = {r.f: (r.rank, r.size) for r in R.ranked(df, ["g"], "s", ["f"], hot_rows=200).collect()}
+    assert pieces == windows and len(windows) == 900 and windows["f0003"][1] == 300
+
+
+def test_merge_without_partition_is_chained_over_days(spark):
+    seconds = [i * 4 * 3600 + (i % 3) * 100 for i in range(40)] + [None] * 5
+    df = spark.createDataFrame([(f"f{i:02d}", None if s is None else T0 + timedelta(seconds=s)) for i, s in enumerate(seconds)], "file string, ts timestamp_ntz").withColumn("h", (F.substring("file", 2, 2).cast("bigint") / 5).cast("bigint") * 0)
+    edges = G.island_edges(G.time_islands(df, "ts", "file", 30), "ts", "file", ["h"])
+    gap = 4 * 3600 + 50
+    chained = {r["first"].item: r.group_seq for r in G.merged_islands(edges, G.similar_edges("h"), max_gap_seconds=gap).collect()}
+    whole = {r["first"].item: r.group_seq for r in G.merged_islands(edges.withColumn("k", F.lit(1)), G.similar_edges("h"), ["k"], gap).collect()}
+    assert chained == whole and 5 < len(set(whole.values())) < 45
+
+
+def test_names_of_groups_run_over_batches(spark):
+    import hashlib
+
+    rows = [("hot", f"p{i:05d}") for i in range(25_000)] + [("a", "x"), ("a", None), ("b", None), (None, "y"), (None, "z")]
+    df = spark.createDataFrame(rows, "g string, p string").repartition(5)
+    got = {r.g: (r.group_id, r.members) for r in G.named_groups(df, ["g"], "p").collect()}
+    name = lambda *paths: "group_" + hashlib.sha256("\x00".join(sorted(paths)).encode()).hexdigest()[:16]
+    assert got == {"hot": (name(*[p for g, p in rows if g == "hot"]), 25_000), "a": (name("x"), 2), "b": (name(), 1), None: (name("y", "z"), 2)}

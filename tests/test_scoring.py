@@ -95,3 +95,12 @@ def test_rounding_is_that_of_the_exact_value(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double")
     got = [r.y for r in df.select("i", half_up(F.col("x")).alias("y")).orderBy("i").collect()]
     assert got == [None if v is None else round(v, 2) for v in values]
+
+
+def test_softmax_of_a_long_vector(spark):
+    import math
+
+    v = [i / 100 for i in range(400)]
+    got = spark.createDataFrame([(v,), (None,), ([],)], "v array<double>").select(S.softmax(F.col("v")).alias("p")).collect()
+    total = sum(math.exp(x - v[-1]) for x in v)
+    assert all(abs(a - math.exp(x - v[-1]) / total) < 1e-12 for a, x in zip(got[0].p, v)) and got[1].p is None and got[2].p == []

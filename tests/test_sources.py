@@ -104,6 +104,33 @@ def test_sidecars(spark, tmp_path):
     assert [r.x for r in df.select(sidecars.cleared_where_recorded(F.col("cur"), F.col("rec")).alias("x")).collect()] == [None, "4"]
 
 
+def test_rewritten_sidecars_keep_what_people_tagged(spark, tmp_path):
+    tags = "array<string>"
+    old = spark.createDataFrame(
+        [(f"{tmp_path}/a b+.xmp", ["Tree & <fog>", "pj:old"], ["id1", "pj:score=3"], ["Places|Harbor", "People|Ann"]), (f"{tmp_path}/unrelated.xmp", ["x"], [], [])],
+        f"sidecar_path string, s {tags}, i {tags}, h {tags}",
+    )
+    text = sidecars.sidecar_text(F.lit(2), F.col("s"), F.col("i"), F.lit("n"), F.lit("d"), F.col("h"))
+    assert sidecars.write_sidecars(old.withColumn("content", text)) == 2
+    results = spark.createDataFrame(
+        [(f"{tmp_path}/a b+.ARW", "done", 5, ["pj:score=9", "pj:rank=1"], "line", "text"), (f"{tmp_path}/new.ARW", "done", 1, None, None, None), (f"{tmp_path}/failed.ARW", "error", 1, None, None, None)],
+        f"file_path string, status string, star_rating int, tags {tags}, line string, description string",
+    )
+    assert sidecars.rewrite_sidecars(results, sidecars.read_sidecars(spark, str(tmp_path))) == 2
+    got = {os.path.basename(r.path): r for r in sidecars.read_sidecars(spark, str(tmp_path)).collect()}
+    assert set(got) == {"a b+.xmp", "new.xmp", "unrelated.xmp"}
+    a = got["a b+.xmp"]
+    assert a.rating == 5 and a.subjects == ["Tree & <fog>"] and a.identifiers == ["id1", "pj:score=9", "pj:rank=1"] and a.hierarchical == ["Places|Harbor", "People|Ann"]
+    assert got["unrelated.xmp"].subjects == ["x"] and got["new.xmp"].rating == 1 and got["new.xmp"].subjects == []
+
+
+def test_label_files_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(manifests, "MAX_LABELS", 1)
+    two = spark.createDataFrame([("a", "t", "train"), ("b", "t", "train")], "path string, target string, split string")
+    with pytest.raises(ValueError, match="too many"):
+        manifests.write_labels(two, str(tmp_path / "x.yaml"))
+
+
 def test_manifests(spark, tmp_path):
     pytest.importorskip("yaml")
     good = tmp_path / "m.yaml"

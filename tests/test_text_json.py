@@ -56,6 +56,11 @@ def test_scores_in_text(spark):
     assert col(spark, texts, J.labelled_score(F.col("x"))) == [7.0, 8.5, 10.0, None, 6.0, None, 0.0]
 
 
+def test_scores_told_in_sentences(spark):
+    texts = ["I'd say the overall looks like 7/10.", "rating = .5", "Overall: n/a. score: 0.65", "the score, as far as I can tell, is maybe 6.5!", "score is high. " + "so " * 60 + "is 9", '{"score": true}', "`overall` : 9", "version 3", "-3.5", None]
+    assert col(spark, texts, J.labelled_score(F.col("x"))) == [7.0, None, 6.5, 6.5, None, None, 9.0, None, 0.0, None]
+
+
 def test_vision_answers():
     whole = J.parse_vision('{"subject": 8, "composition": 7, "lighting": 6, "color": 5, "clarity": 4, "depth": 3, "mood": 22, "scene": "City"}')
     assert whole["ok"] and whole["mood"] == 10.0 and whole["scene"] == "city"
