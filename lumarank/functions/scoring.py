@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumarank.constants import AESTHETIC_DIMS, AESTHETIC_SOURCE, EXPOSURE_FIELDS, EXPOSURE_PROFILES, SCENE_WEIGHTS, VISION_DIMS
-from lumarank.runtime import half_up
+from lumarank.runtime import half_up, rounded
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
@@ -158,26 +158,26 @@ def layered_summary(df: DataFrame, scene: str = "scene", prior_weight: float = 0
     Signals are rounded to two places first, as every layer is.
     """
     have = set(df.columns)
-    col = lambda name: half_up(F.col(name)) if name in have else F.lit(None).cast("double")
     names = ["technical_quality", "exposure_control", "focus_integrity", "motion_blur", "noise_cleanliness", "portrait_usability", "subject_focus", "screening_prior", "aggregate_prior", "overall_aesthetic", *AESTHETIC_DIMS]
     # staged projections keep every expression small
-    out = df.select("*", *[col(n).alias(f"__{n}") for n in names])
+    out = rounded(df, {f"__{n}": F.col(n) for n in names if n in have}).withColumns({f"__{n}": F.lit(None).cast("double") for n in names if n not in have})
     s = {n: F.col(f"__{n}") for n in names}
     technical = mean_of_known(s["exposure_control"], s["focus_integrity"], s["motion_blur"], s["noise_cleanliness"], s["portrait_usability"])
     out = out.withColumn("tech", F.coalesce(s["technical_quality"], technical, F.lit(0.0)))
     out = out.withColumn("focus", F.coalesce(s["subject_focus"], mean_of_known(s["focus_integrity"], s["portrait_usability"]), F.col("tech")))
     out = out.withColumn("prior", F.coalesce(s["screening_prior"], s["aggregate_prior"], F.col("tech")))
     weighted = scene_weighted({d: s[d] for d in AESTHETIC_DIMS}, F.col(scene), AESTHETIC_WEIGHTS)
-    out = out.withColumn("aesthetic", F.coalesce(s["overall_aesthetic"], half_up(weighted), F.lit(0.0)))
-    out = out.withColumn("base", half_up(0.25 * F.col("tech") + 0.15 * F.col("focus") + (0.60 - prior_weight) * F.col("aesthetic") + prior_weight * F.col("prior")))
+    out = rounded(out, {"__weighted": weighted})
+    out = out.withColumn("aesthetic", F.coalesce(s["overall_aesthetic"], F.col("__weighted"), F.lit(0.0))).drop("__weighted")
+    out = rounded(out, {"base": (0.25 * F.col("tech") + 0.15 * F.col("focus") + (0.60 - prior_weight) * F.col("aesthetic") + prior_weight * F.col("prior"))})
     out = out.withColumn("__low", F.array_sort(F.filter(F.array(*[s[d] for d in AESTHETIC_DIMS]), lambda x: x.isNotNull() & (x > 0))))
     lack = lambda limit, x: F.greatest(F.lit(0.0), F.lit(limit) - x)
     # greatest() skips null, so absent places are kept out by size
     second = F.when(F.size("__low") > 1, 0.08 * lack(5.5, F.try_element_at("__low", F.lit(2)))).otherwise(0.0)
     first = F.when(F.size("__low") > 0, 0.18 * lack(6.5, F.try_element_at("__low", F.lit(1)))).otherwise(0.0)
     of_dims = F.when(s["overall_aesthetic"].isNull(), first + second).otherwise(0.0)
-    out = out.withColumn("penalty", half_up(of_dims + 0.12 * lack(6.0, F.col("tech")) + 0.10 * lack(6.0, F.col("focus"))))
-    out = out.withColumn("total", half_up(clamp(F.col("base") - F.col("penalty"), 0.0, 10.0)))
+    out = rounded(out, {"penalty": of_dims + 0.12 * lack(6.0, F.col("tech")) + 0.10 * lack(6.0, F.col("focus"))})
+    out = rounded(out, {"total": clamp(F.col("base") - F.col("penalty"), 0.0, 10.0)})
     out = out.withColumn("stars", star_rating(F.col("total")))
     return decide(out, "total", "tech", "focus", "__portrait_usability").drop(*[f"__{n}" for n in names], "__low")
 

@@ -96,17 +96,38 @@ def half_up(x: Column, digits: int = 2) -> Column:
     """
     if digits != 2:
         return reported(x, digits)
+    # binds x once: repeated in the formula, nested scores would outgrow generated code
+    return F.transform(F.array(x), two_places)[0]
 
-    def rounded(v: Column) -> Column:
-        p = v * 100.0
-        high = v * 134217729.0 - (v * 134217729.0 - v)
-        error = (high * 100.0 - p) + (v - high) * 100.0
-        low, part = F.floor(p), p - F.floor(p)
-        up = F.when(part != 0.5, part > 0.5).when(error != 0, error > 0).otherwise(low % 2 != 0)
-        return F.when(p.isNotNull(), (low + F.when(up, 1).otherwise(0)) / 100.0)
 
-    # binds x once: repeated in the formula, nested scores would outgrow generated code
-    return F.transform(F.array(x), rounded)[0]
+def two_places(v: Column) -> Column:
+    """The formula of ``half_up`` to two places, for a column that has a name; it reads ``v`` many times."""
+    p = v * 100.0
+    high = v * 134217729.0 - (v * 134217729.0 - v)
+    error = (high * 100.0 - p) + (v - high) * 100.0
+    low, part = F.floor(p), p - F.floor(p)
+    up = F.when(part != 0.5, part > 0.5).when(error != 0, error > 0).otherwise(low % 2 != 0)
+    return F.when(p.isNotNull(), (low + F.when(up, 1).otherwise(0)) / 100.0)
+
+
+def _two_places_text(v: str) -> str:
+    """``two_places`` of a named column as an expression's text, which is built by one call."""
+    p = f"({v} * 100D)"
+    high = f"({v} * 134217729D - ({v} * 134217729D - {v}))"
+    error = f"(({high} * 100D - {p}) + ({v} - {high}) * 100D)"
+    part = f"({p} - floor({p}))"
+    up = f"CASE WHEN {part} <> 0.5D THEN {part} > 0.5D WHEN {error} <> 0D THEN {error} > 0D ELSE floor({p}) % 2 <> 0 END"
+    return f"CASE WHEN {p} IS NOT NULL THEN (floor({p}) + CASE WHEN {up} THEN 1 ELSE 0 END) / 100D END"
+
+
+def rounded(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns rounded to two places as ``half_up`` does, in generated code.
+
+    A projection gives each value a name and the next one rounds it; the optimizer keeps the two
+    apart, as the formula reads the value many times.
+    """
+    named = df.withColumns({f"__raw_{name}": x.cast("double") for name, x in columns.items()})
+    return named.withColumns({name: F.expr(_two_places_text(f"`__raw_{name}`")) for name in columns}).drop(*[f"__raw_{name}" for name in columns])
 
 
 def reported(x: Column, digits: int = 2) -> Column:

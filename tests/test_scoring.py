@@ -104,3 +104,13 @@ def test_softmax_of_a_long_vector(spark):
     got = spark.createDataFrame([(v,), (None,), ([],)], "v array<double>").select(S.softmax(F.col("v")).alias("p")).collect()
     total = sum(math.exp(x - v[-1]) for x in v)
     assert all(abs(a - math.exp(x - v[-1]) / total) < 1e-12 for a, x in zip(got[0].p, v)) and got[1].p is None and got[2].p == []
+
+
+def test_both_ways_of_rounding_agree(spark):
+    from lumarank.runtime import half_up, rounded
+
+    values = [2.675, 0.125, 0.375, 1.005, 5.0, 7.345, 9.995, 0.0, None, -1.005, 3.14159, float("nan")]
+    df = spark.createDataFrame([(v,) for v in values], "v double").withColumn("a", half_up(F.col("v")))
+    rows = rounded(df, {"b": F.col("v") + 0.0}).collect()
+    assert [str(r.a) for r in rows] == [str(r.b) for r in rows]
+    assert [r.b for r in rows][:8] == [round(v, 2) for v in values[:8]]
