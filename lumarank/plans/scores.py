@@ -124,6 +124,40 @@ def rescore(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("file_path", "group_key", "total", "stars", "decision", F.size("reasons").alias("n_reasons"), "rank", "size")
 
 
+def with_stored_signals(wide: DataFrame, signals: DataFrame) -> DataFrame:
+    """Wide signals in which the stored ones of a photo take the place of those of its legacy scores.
+
+    ``signals``: ``(file_path, signal_key, value)``. A photo with any stored value has those only, and
+    a signal that isn't stored is missing then; null and NaN values don't count. One aggregation
+    with map-side combine; of repeated keys the greatest value counts.
+    """
+    known = signals.filter(F.col("file_path").isNotNull() & F.col("value").isNotNull() & ~F.isnan("value"))
+    stored = known.groupBy(F.col("file_path").alias("__file")).agg(*[F.max(F.when(F.col("signal_key") == k, F.col("value"))).alias(f"__{k}") for k in SIGNALS])
+    rows = wide.join(stored.hint("merge"), F.col("file_path") == F.col("__file"), "left")
+    return rows.withColumns({k: F.when(F.col("__file").isNotNull(), F.col(f"__{k}")).otherwise(F.col(k)) for k in SIGNALS}).drop("__file", *[f"__{k}" for k in SIGNALS])
+
+
+_STORED = SUMMARY.replace(WIDE, "").replace("FROM w1 WHERE", "FROM w2 WHERE")
+
+
+@query(
+    "rescore_stored",
+    WIDE
+    + """, n1 AS (SELECT file_path, count(*) AS n FROM (SELECT file_path, unnest(map_values(visible_breakdown)) AS v FROM cur) WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY file_path),
+w2 AS (SELECT w1.* REPLACE ("""
+    + ", ".join(f"CASE WHEN n1.n > 0 THEN CASE WHEN NOT isnan(visible_breakdown['{k}']) THEN visible_breakdown['{k}'] END ELSE sig_{k} END AS sig_{k}" for k in SIGNALS)
+    + ") FROM w1 LEFT JOIN n1 USING (file_path))"
+    + _STORED
+    + "SELECT file_path, scene_key, tech, focus, prior, aesthetic, total, stars, first_decision AS decision FROM s6",
+)
+def rescore_stored(spark: SparkSession, root: str) -> DataFrame:
+    """Summary of every scored photo from its stored signals, else from those of its legacy scores."""
+    rows = current(spark, root, *SCORES, "status", "visible_breakdown").filter(F.col("status").isin(*SCORED_STATUS))
+    signals = rows.select("file_path", F.explode("visible_breakdown").alias("signal_key", "value"))
+    out = S.layered_summary(with_stored_signals(wide_signals(rows.drop("visible_breakdown")), signals), "scene_key")
+    return out.select("file_path", "scene_key", "tech", "focus", "prior", "aesthetic", "total", "stars", "decision")
+
+
 @query("rescore_scene", SUMMARY + "SELECT file_path, total, stars, first_decision AS decision, w.group_rank AS kept_rank FROM s6 JOIN (SELECT file_path, group_rank FROM cur) w USING (file_path) WHERE scene_key = 'people'")
 def rescore_scene(spark: SparkSession, root: str) -> DataFrame:
     """Rescoring of one scene: new scores, stored ranks, no group rule."""

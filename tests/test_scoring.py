@@ -114,3 +114,12 @@ def test_both_ways_of_rounding_agree(spark):
     rows = rounded(df, {"b": F.col("v") + 0.0}).collect()
     assert [str(r.a) for r in rows] == [str(r.b) for r in rows]
     assert [r.b for r in rows][:8] == [round(v, 2) for v in values[:8]]
+
+
+def test_stored_signals_take_the_place_of_legacy_ones(spark):
+    from lumarank.plans.scores import SIGNALS, with_stored_signals
+
+    wide = spark.createDataFrame([("a", *[5.0] * len(SIGNALS)), ("b", *[6.0] * len(SIGNALS)), ("c", *[7.0] * len(SIGNALS))], "file_path string, " + ", ".join(f"{k} double" for k in SIGNALS))
+    signals = spark.createDataFrame([("a", "technical_quality", 8.0), ("a", "other", 1.0), ("b", "technical_quality", None), ("b", "subject_focus", float("nan")), (None, "subject_focus", 1.0)], "file_path string, signal_key string, value double")
+    got = {r.file_path: r for r in with_stored_signals(wide, signals).collect()}
+    assert got["a"].technical_quality == 8.0 and got["a"].subject_focus is None and got["b"].technical_quality == 6.0 and got["c"].subject_focus == 7.0
