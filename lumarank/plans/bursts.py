@@ -160,9 +160,10 @@ def event_windows(spark: SparkSession, root: str) -> DataFrame:
 
 @query("event_sessions_stream", _ISL + "SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS members FROM i GROUP BY user_id, island")
 def event_sessions_stream(spark: SparkSession, root: str) -> DataFrame:
-    """Bursts of events found by a stream."""
-    from lumarank.streaming.progress import run_to_table, burst_stream
+    """Bursts of events found by a stream; nearly as many as events, so files hold them."""
+    from lumarank.streaming.progress import all_bursts, run_to_files
 
     schema = table(spark, root, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(root)
-    return run_to_table(burst_stream(stream, "ts", ["user_id"], "30 minutes 1 microsecond", "1 hour"), "complete")
+    # a pattern: only then may a stream's path be a file as well as a folder
+    stream = spark.readStream.schema(schema).parquet(f"{root}/events.parque[t]")
+    return run_to_files(all_bursts(stream, "ts", "event_id", ["user_id"], "30 minutes"))

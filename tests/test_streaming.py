@@ -1,7 +1,10 @@
 import json
+from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as E
 from lumarank.operators.labels import calibration_fit
 from lumarank.streaming import progress as P
 
@@ -23,6 +26,39 @@ def test_burst_stream_equals_batch(spark, sf, tmp_path):
     assert batch.agg(F.sum("members")).first()[0] == events(spark, sf).count()
 
 
+def test_event_sessions_are_held_by_files(spark, sf):
+    sessions = E.QUERIES["event_sessions_stream"](spark, sf)
+    assert sessions.inputFiles()  # a table of the memory sink has none: its rows are the driver's
+    assert sessions.agg(F.sum("members")).first()[0] == 1000
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_event_sessions_keep_every_row(spark, tmp_path, files):
+    """A table of one file or several; half an hour joins, a microsecond more doesn't; times missing or before 1970."""
+    noon, half, old = datetime(2024, 1, 1, 12), timedelta(minutes=30), datetime(1969, 12, 31)
+    late = noon + 2 * half + timedelta(microseconds=1)
+    rows = [(1, noon, 1), (2, noon + half, 1), (3, late, 1), (4, None, 1), (5, None, 1), (5, None, 1), (6, None, None), (7, noon, None), (8, old, 2)]
+    df = spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint").repartition(files)
+    df.write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted(map(tuple, E.QUERIES["event_sessions_stream"](spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted([(1, noon, noon + half, 2), (1, late, late, 1), *[(1, None, None, 1)] * 3, (None, None, None, 1), (None, noon, noon, 1), (2, old, old, 1)], key=str)
+
+
+def test_run_to_files_over_many_batches(spark, sf, tmp_path):
+    src = tmp_path / "in"
+    events(spark, sf).withColumn("ts", F.when(F.col("event_id") % 10 > 0, F.col("ts"))).repartition(3).write.parquet(str(src))
+    rows = spark.read.parquet(str(src))
+    got = P.run_to_files(P.all_bursts(P.file_stream(spark, str(src), rows.schema, 1), "ts", "event_id", ["user_id"], "30 minutes"))
+    want = P.all_bursts(rows, "ts", "event_id", ["user_id"], "30 minutes")
+    assert got.agg(F.sum("members")).first()[0] == 1000
+    assert got.exceptAll(want).count() == 0 == want.exceptAll(got).count()
+
+
+def test_run_to_files_without_files(spark, tmp_path):
+    empty = P.file_stream(spark, str(tmp_path), spark.createDataFrame([], "id bigint, at timestamp_ntz").schema)
+    assert P.run_to_files(P.all_bursts(empty, "at", "id", ["id"], "1 hour")).collect() == []
+
+
 def test_progress_stream(spark, sf, tmp_path):
     src = tmp_path / "in"
     events(spark, sf).repartition(2).write.parquet(str(src))
